@@ -1,0 +1,11 @@
+"""The queries offered for the engine's own operators, with the SQL that states their results."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
