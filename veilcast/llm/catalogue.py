@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from . import records, sharding, tokens
+from . import language, mixing, postings, records, sentences, sharding, tokens
 
 
 def queries() -> dict:
     return {
         "op1_hypergeometric_shards": sharding.op1_hypergeometric_shards,
+        "op2_sentence_spans": sentences.op2_sentence_spans,
         "op3_token_counts": tokens.op3_token_counts,
         "op4_token_records": records.op4_token_records,
+        "op6_benchmark_contamination": postings.op6_benchmark_contamination,
+        "op7_language_id": language.op7_language_id,
+        "op10_raked_mixture": mixing.op10_raked_mixture,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_sentence_spans": sentences.ORACLE_SQL,
+        "op6_benchmark_contamination": postings.ORACLE_SQL,
+        "op10_raked_mixture": mixing.oracle_sql(),
+    }
