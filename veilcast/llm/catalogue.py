@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, postings, records, sentences, sharding, tokens
+from . import language, mixing, postings, records, sentences, sharding, tokens, vectors
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_token_records": records.op4_token_records,
         "op6_benchmark_contamination": postings.op6_benchmark_contamination,
         "op7_language_id": language.op7_language_id,
+        "op8_vector_links": vectors.op8_vector_links,
         "op10_raked_mixture": mixing.op10_raked_mixture,
     }
 
@@ -21,5 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_sentence_spans": sentences.ORACLE_SQL,
         "op6_benchmark_contamination": postings.ORACLE_SQL,
+        "op8_vector_links": vectors.ORACLE_SQL,
         "op10_raked_mixture": mixing.oracle_sql(),
     }
