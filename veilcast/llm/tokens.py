@@ -173,7 +173,8 @@ def frequent_units(df: DataFrame, text: str = "text", k: int = FREQUENT) -> list
     reaches the driver; which units are found never changes a count, only how fast it is made."""
     units = df.select(F.spark_partition_id().alias("p"), F.explode(F.split(text, " ")).alias("unit")).filter(F.octet_length("unit") <= 64)
     sketched = units.groupBy(F.pmod("p", F.lit(SKETCH_GROUPS)).alias("g")).agg(F.expr(f"approx_top_k_accumulate(unit, {TRACKED})").alias("s"))
-    top = sketched.agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top")).first()
+    # grouped by a constant: an ungrouped merge would also be asked of partitions without any sketch, and fails there
+    top = sketched.groupBy(F.lit(0).alias("all")).agg(F.expr(f"approx_top_k_combine(s, {TRACKED})").alias("s")).select(F.expr(f"approx_top_k_estimate(s, {k})").alias("top")).first()
     return [] if top is None or top["top"] is None else [r["item"] for r in top["top"] if r["item"]]
 
 
