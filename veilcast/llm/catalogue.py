@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, near_text, postings, records, sentences, sharding, tokens, vectors
+from . import language, mixing, near_text, postings, records, sentences, sharding, suffixes, tokens, vectors
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_benchmark_contamination": postings.op6_benchmark_contamination,
         "op7_language_id": language.op7_language_id,
         "op8_vector_links": vectors.op8_vector_links,
+        "op9_repeated_bytes": suffixes.op9_repeated_bytes,
         "op10_raked_mixture": mixing.op10_raked_mixture,
     }
 
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_odd_sketch_components": near_text.ORACLE_SQL,
         "op6_benchmark_contamination": postings.ORACLE_SQL,
         "op8_vector_links": vectors.ORACLE_SQL,
+        "op9_repeated_bytes": suffixes.ORACLE_SQL,
         "op10_raked_mixture": mixing.oracle_sql(),
     }
