@@ -1,11 +1,301 @@
-"""The queries offered for the engine's own operators, with the SQL that states their results."""
+"""The queries offered for the engine's own operators, with the SQL that states their results.
+
+Answers are compared where they are deterministic: with a mutual-information bound of 0 the engine releases
+world 0, and without noise the elastic mode releases clipped aggregates. The hash is then md5, which any engine has.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..catalog import PrivacyError
+from ..config import PrivacyConfig
+from ..engine import PrivacySession
+from ..functions import noise, pu_hash, worlds
+from ..operators.diff import utility_diff
+from ..sources import register_parquet
+
+BASE = (
+    "ALTER TABLE customer ADD PRIVACY_KEY (c_custkey)", "ALTER TABLE customer SET PU", "ALTER PU TABLE customer ADD PROTECTED (c_custkey, c_name, c_acctbal)",
+    "ALTER TABLE orders ADD PRIVACY_LINK (o_custkey) REFERENCES customer(c_custkey)", "ALTER TABLE lineitem ADD PRIVACY_LINK (l_orderkey) REFERENCES orders(o_orderkey)",
+)
+SUPPLIER = ("ALTER TABLE supplier ADD PRIVACY_KEY (s_suppkey)", "ALTER TABLE supplier SET PU", "ALTER TABLE lineitem ADD PRIVACY_LINK (l_suppkey) REFERENCES supplier(s_suppkey)")
+LINES = ("ALTER TABLE lineitem ADD PRIVACY_KEY (l_orderkey, l_linenumber)", "ALTER TABLE lineitem SET PU", "ALTER PU TABLE lineitem ADD PROTECTED (l_extendedprice)")
+EXACT = {"pac_mi": 0.0, "pac_hash": "md5"}
+ELASTIC = {"privacy_mode": "dp_elastic", "privacy_noise": False, "dp_sum_bound": 1000.0}
+QH = PrivacyConfig().query_hash
+
+
+def world(key: str, j: int = 0, qh: int = QH) -> str:
+    """SQL: whether the unit of this key is in world j."""
+    at, shift = (9, j) if j < 32 else (1, j - 32)
+    return f"(((CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), {at}, 8) AS BIGINT) >> {shift}) & 1) = {1 ^ (qh >> j & 1)})"
+
+
+def popcount(key: str) -> str:
+    """SQL: in how many worlds the unit is."""
+    half = lambda at, bits: f"bit_count(xor(CAST('0x' || substr(md5(CAST({key} AS VARCHAR)), {at}, 8) AS BIGINT), {bits}))"
+    return f"({half(1, QH >> 32)} + {half(9, QH & 0xFFFFFFFF)})"
+
+
+def tidy(df: DataFrame, digits: int = 2) -> DataFrame:
+    """Doubles rounded, so that the order of additions doesn't show."""
+    return df.select(*[F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
+def session(spark: SparkSession, sf_dir: str, settings: dict, policy: tuple[str, ...] = BASE) -> PrivacySession:
+    register_parquet(spark, sf_dir)
+    s = PrivacySession(spark, PrivacyConfig(**settings))
+    for line in policy:
+        s.sql(line)
+    return s
+
+
+def run(sql: str, settings: dict | None = None, policy: tuple[str, ...] = BASE, digits: int = 2) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: tidy(session(spark, sf_dir, EXACT if settings is None else settings, policy).sql(sql), digits)
+
+
+C, O = world("c_custkey"), world("o_custkey")
+LO = "lineitem JOIN orders ON l_orderkey = o_orderkey"
+SQL: dict[str, tuple] = {}  # name: (query, settings, policy, statement of the result)
+
+
+def add(name: str, query: str, truth: str, settings: dict | None = None, policy: tuple[str, ...] = BASE) -> None:
+    SQL[name] = (query, settings, policy, truth)
+
+
+def s2(value: str, bit: str) -> str:
+    return f"round(2 * coalesce(sum(CASE WHEN {bit} THEN {value} END), 0), 2)"
+
+
+def c2(bit: str, cond: str = "TRUE") -> str:
+    return f"2 * count(CASE WHEN {bit} AND {cond} THEN 1 END)"
 
-def queries() -> dict:
-    return {}
+
+add(
+    "pac_sum_fk_chain", "SELECT l_returnflag, l_linestatus, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    f"SELECT l_returnflag, l_linestatus, {s2('l_extendedprice', O)} AS total FROM {LO} GROUP BY ALL",
+)
+add("pac_count_direct", "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", f"SELECT c_mktsegment, {c2(C)} AS n FROM customer GROUP BY ALL")
+add(
+    "pac_avg", "SELECT c_mktsegment, avg(c_acctbal) AS a FROM customer GROUP BY c_mktsegment",
+    f"SELECT c_mktsegment, round(sum(CASE WHEN {C} THEN c_acctbal END) / count(CASE WHEN {C} THEN c_acctbal END), 2) AS a FROM customer GROUP BY ALL",
+)
+for f in ("min", "max"):
+    add(f"pac_{f}", f"SELECT c_mktsegment, {f}(c_acctbal) AS v FROM customer GROUP BY c_mktsegment", f"SELECT c_mktsegment, round(coalesce({f}(CASE WHEN {C} THEN c_acctbal END), 0), 2) AS v FROM customer GROUP BY ALL")
+add(
+    "pac_group_having", "SELECT o_orderpriority, count(*) AS n, sum(o_totalprice) AS t FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority HAVING count(*) > 10 ORDER BY t DESC",
+    f"SELECT * FROM (SELECT o_orderpriority, {c2(O)} AS n, {s2('o_totalprice', O)} AS t FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL) WHERE n > 10",
+)
+add(
+    "pac_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS d FROM lineitem GROUP BY l_returnflag",
+    f"SELECT l_returnflag, 2 * count(DISTINCT CASE WHEN {O} THEN l_partkey END) AS d FROM {LO} GROUP BY ALL",
+)
+add(
+    "pac_mixed_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS d, sum(DISTINCT l_quantity) AS q, count(*) AS n, sum(l_quantity) AS s FROM lineitem GROUP BY l_returnflag",
+    f"SELECT l_returnflag, 2 * count(DISTINCT CASE WHEN {O} THEN l_partkey END) AS d, 2 * sum(DISTINCT CASE WHEN {O} THEN l_quantity END) AS q, {c2(O)} AS n, {s2('l_quantity', O)} AS s FROM {LO} GROUP BY ALL",
+)
+S = world("l_suppkey")
+add(
+    "pac_multi_pu", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, min(l_quantity) AS lo FROM lineitem GROUP BY l_returnflag",
+    f"SELECT l_returnflag, 4 * count(CASE WHEN {O} AND {S} THEN 1 END) AS n, 4 * sum(CASE WHEN {O} AND {S} THEN l_quantity END) AS q, min(CASE WHEN {O} AND {S} THEN l_quantity END) AS lo FROM {LO} GROUP BY ALL",
+    policy=BASE + SUPPLIER,
+)
+both = f"(({world('l_orderkey', 0, 0)}) <> ({world('l_linenumber', 0, 0)})) = {'FALSE' if QH & 1 else 'TRUE'}"
+add(
+    "pac_composite_key", "SELECT l_linestatus, count(*) AS n, sum(l_tax) AS t FROM lineitem GROUP BY l_linestatus",
+    f"SELECT l_linestatus, {c2(both)} AS n, {s2('l_tax', both)} AS t FROM lineitem GROUP BY ALL", policy=LINES,
+)
+add(
+    "pac_q01",
+    "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base, sum(l_extendedprice * (1 - l_discount)) AS sum_disc, avg(l_quantity) AS avg_qty, avg(l_discount) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= DATE '2000-09-02' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus",
+    f"SELECT l_returnflag, l_linestatus, {s2('l_quantity', O)} AS sum_qty, {s2('l_extendedprice', O)} AS sum_base, {s2('l_extendedprice * (1 - l_discount)', O)} AS sum_disc, round(avg(CASE WHEN {O} THEN l_quantity END), 2) AS avg_qty, round(avg(CASE WHEN {O} THEN l_discount END), 2) AS avg_disc, {c2(O)} AS n FROM {LO} WHERE l_shipdate <= DATE '2000-09-02' GROUP BY ALL",
+)
+add(
+    "pac_q04", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-04-01' AND EXISTS (SELECT 1 FROM part WHERE p_size > 10) GROUP BY o_orderpriority",
+    f"SELECT o_orderpriority, {c2(O)} AS n FROM orders WHERE o_orderdate >= DATE '1997-01-01' AND o_orderdate < DATE '1997-04-01' GROUP BY ALL",
+)
+add(
+    "pac_q05", "SELECT n_name, sum(l_extendedprice * (1 - l_discount)) AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 1 AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY n_name",
+    f"SELECT n_name, {s2('l_extendedprice * (1 - l_discount)', C)} AS revenue FROM customer, orders, lineitem, supplier, nation, region WHERE c_custkey = o_custkey AND l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND s_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 1 AND o_orderdate >= DATE '1996-01-01' AND o_orderdate < DATE '1997-01-01' GROUP BY ALL",
+)
+add(
+    "pac_q06", "SELECT sum(l_extendedprice * l_discount) AS revenue FROM lineitem WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+    f"SELECT {s2('l_extendedprice * l_discount', O)} AS revenue FROM {LO} WHERE l_shipdate >= DATE '1996-01-01' AND l_shipdate < DATE '1997-01-01' AND l_discount BETWEEN 0.05 AND 0.07 AND l_quantity < 24",
+)
+add(
+    "pac_q08_ratio", "SELECT year(o_orderdate) AS y, sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice ELSE 0 END) / sum(l_extendedprice) AS share FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY year(o_orderdate)",
+    f"SELECT CAST(year(o_orderdate) AS INTEGER) AS y, round(sum(CASE WHEN {O} AND p_type = 'PROMO' THEN l_extendedprice ELSE 0 END) / sum(CASE WHEN {O} THEN l_extendedprice END), 2) AS share FROM {LO} JOIN part ON l_partkey = p_partkey GROUP BY ALL",
+)
+add(
+    "pac_q12_case", "SELECT l_linestatus, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS high, sum(CASE WHEN o_orderpriority <> '1-URGENT' THEN 1 ELSE 0 END) AS low FROM orders, lineitem WHERE o_orderkey = l_orderkey GROUP BY l_linestatus",
+    f"SELECT l_linestatus, {c2(O, chr(111) + '_orderpriority = ' + repr('1-URGENT'))} AS high, {c2(O, 'o_orderpriority <> ' + repr('1-URGENT'))} AS low FROM {LO} GROUP BY ALL",
+)
+add(
+    "pac_q13_passthrough", "SELECT c_count, count(*) AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t GROUP BY c_count",
+    f"SELECT c_count, {c2(C)} AS custdist FROM (SELECT c_custkey, count(o_orderkey) AS c_count FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) t GROUP BY c_count",
+)
+add(
+    "pac_q14_ratio", "SELECT 100.0 * sum(CASE WHEN p_type = 'PROMO' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(l_extendedprice * (1 - l_discount)) AS promo FROM lineitem, part WHERE l_partkey = p_partkey",
+    f"SELECT round(100.0 * sum(CASE WHEN {O} AND p_type = 'PROMO' THEN l_extendedprice * (1 - l_discount) ELSE 0 END) / sum(CASE WHEN {O} THEN l_extendedprice * (1 - l_discount) END), 2) AS promo FROM {LO}, part WHERE l_partkey = p_partkey",
+)
+add(
+    "pac_q15_cte", "WITH revenue AS (SELECT l_returnflag AS f, sum(l_extendedprice) AS total FROM lineitem GROUP BY l_returnflag) SELECT max(total) AS best FROM revenue",
+    f"SELECT max(total) AS best FROM (SELECT l_returnflag, {s2('l_extendedprice', O)} AS total FROM {LO} GROUP BY ALL)",
+)
+add(
+    "pac_q19_or", "SELECT sum(l_extendedprice) AS revenue FROM lineitem, part WHERE p_partkey = l_partkey AND ((p_size < 10 AND l_quantity < 10) OR (p_size > 30 AND l_quantity > 30))",
+    f"SELECT {s2('l_extendedprice', O)} AS revenue FROM {LO}, part WHERE p_partkey = l_partkey AND ((p_size < 10 AND l_quantity < 10) OR (p_size > 30 AND l_quantity > 30))",
+)
+add(
+    "pac_q22_select", "SELECT count(*) AS n, sum(c_acctbal) AS t FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0)",
+    f"WITH a AS (SELECT avg(c_acctbal) AS m FROM customer WHERE c_acctbal > 0 AND {C}) SELECT {c2(C)} AS n, {s2('c_acctbal', C)} AS t FROM customer, a WHERE c_acctbal > m",
+)
+add(
+    "pac_in_subquery", "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
+    f"SELECT {c2(O)} AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
+)
+P = f"sum(o_totalprice * {popcount('o_custkey')})"
+for name, extra in (("pac_topk", {}), ("pac_topk_expansion", {"pac_topk_expansion": 2.0})):
+    top = f"SELECT n_name, 2 * sum(CASE WHEN {C} THEN o_totalprice END) AS t, {P} AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY m DESC LIMIT {10 if extra else 5}"
+    add(
+        name, "SELECT n_name, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY t DESC LIMIT 5",
+        f"SELECT n_name, round(t, 2) AS t FROM ({top}) ORDER BY t DESC LIMIT 5", EXACT | extra,
+    )
+add(
+    "pac_union_all", "SELECT p, count(*) AS n FROM (SELECT o_orderpriority AS p, o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority, o_custkey FROM orders WHERE o_totalprice > 100000) u GROUP BY p",
+    f"SELECT p, {c2(O)} AS n FROM (SELECT o_orderpriority AS p, o_custkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderpriority, o_custkey FROM orders WHERE o_totalprice > 100000) u GROUP BY p",
+)
+add(
+    "pac_filter_clause", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 50000) AS n, sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS t FROM orders GROUP BY o_orderstatus",
+    f"SELECT o_orderstatus, {c2(O, 'o_totalprice > 50000')} AS n, {s2('o_totalprice', O + ' AND o_orderpriority = ' + repr('1-URGENT'))} AS t FROM orders GROUP BY ALL",
+)
+add("pac_rollup_free_group", "SELECT o_orderstatus, o_orderpriority, max(o_orderdate) AS d FROM orders GROUP BY o_orderstatus, o_orderpriority", f"SELECT o_orderstatus, o_orderpriority, max(CASE WHEN {O} THEN o_orderdate END) AS d FROM orders GROUP BY ALL")
+add("plain_passthrough", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL")
+add("noise_off_exact", "SELECT c_mktsegment, sum(c_acctbal) AS t FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS t FROM customer GROUP BY ALL", {"privacy_noise": False})
+
+_UNITS = "(SELECT c_mktsegment AS g, c_custkey AS k, sum(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"
+_LEVELS = f"""WITH u AS {_UNITS}, l AS (SELECT *, v < 0 AS neg, CASE WHEN abs(v) < 256 THEN 0 ELSE least(CAST(floor((floor(log2(abs(v))) - 4) / 2) AS INTEGER), 29) END AS lv FROM u),
+n AS (SELECT g, neg, lv, count(*) AS n FROM l GROUP BY ALL), e AS (SELECT g, neg, min(lv) AS a, max(lv) AS b FROM n WHERE n >= {{support}} GROUP BY ALL)
+"""
+_KEPT = "FROM l JOIN e USING (g, neg) WHERE lv BETWEEN a AND b"
+K = world("k")
+add(
+    "pac_clip_sum", "SELECT c_mktsegment AS g, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment",
+    _LEVELS.format(support=40) + f"SELECT g, t FROM (SELECT DISTINCT g FROM u) LEFT JOIN (SELECT g, {s2('v', K)} AS t {_KEPT} GROUP BY g) USING (g)", EXACT | {"pac_clip_support": 40},
+)
+add(
+    "pac_clip_minmax", "SELECT c_mktsegment AS g, max(t) AS hi, min(t) AS lo FROM (SELECT c_mktsegment, c_custkey, sum(o_totalprice) AS t FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment, c_custkey) x GROUP BY c_mktsegment",
+    _LEVELS.format(support=40) + f"SELECT g, hi, lo FROM (SELECT DISTINCT g FROM u) LEFT JOIN (SELECT g, round(max(CASE WHEN {K} THEN v END), 2) AS hi, round(min(CASE WHEN {K} THEN v END), 2) AS lo {_KEPT} GROUP BY g) USING (g)", EXACT | {"pac_clip_support": 40},
+)
+
+B = "greatest(least({}, 1000), -1000)"
+add("dp_count", "SELECT count(*) AS n FROM orders", "SELECT count(*) AS n FROM orders", ELASTIC)
+add("dp_sum_clip", "SELECT o_orderstatus, sum(o_totalprice) AS t FROM orders GROUP BY o_orderstatus", f"SELECT o_orderstatus, round(sum({B.format('o_totalprice')}), 2) AS t FROM orders GROUP BY ALL", ELASTIC)
+add("dp_avg", "SELECT c_mktsegment, avg(c_acctbal) AS a FROM customer GROUP BY c_mktsegment", f"SELECT c_mktsegment, round(sum({B.format('c_acctbal')}) / count(*), 2) AS a FROM customer GROUP BY ALL", ELASTIC)
+add(
+    "dp_multi", f"SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q, avg(l_extendedprice) AS a FROM {LO} GROUP BY l_returnflag",
+    f"SELECT l_returnflag, count(*) AS n, round(sum({B.format('l_quantity')}), 2) AS q, round(sum({B.format('l_extendedprice')}) / count(*), 2) AS a FROM {LO} GROUP BY ALL", ELASTIC,
+)
+add("dp_having_avg", "SELECT l_linenumber, avg(l_quantity) AS a FROM lineitem GROUP BY l_linenumber HAVING avg(l_quantity) > 25", f"SELECT * FROM (SELECT l_linenumber, round(sum({B.format('l_quantity')}) / count(*), 2) AS a FROM lineitem GROUP BY ALL) WHERE a > 25", ELASTIC)
+add("dp_filter_clause", "SELECT o_orderstatus, sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS t FROM orders GROUP BY o_orderstatus", f"SELECT o_orderstatus, round(sum({B.format('o_totalprice')}) FILTER (WHERE o_orderpriority = '1-URGENT'), 2) AS t FROM orders GROUP BY ALL", ELASTIC)
+add("dp_implicit_chain", "SELECT l_linestatus, count(l_quantity) AS n FROM lineitem WHERE l_discount > 0.02 GROUP BY l_linestatus", "SELECT l_linestatus, count(l_quantity) AS n FROM lineitem WHERE l_discount > 0.02 GROUP BY ALL", ELASTIC)
+add("dp_tau_off", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL", ELASTIC | {"privacy_min_group_count": 3.0})
+
+NOISY = {
+    "noise_gaussian": ("SELECT o_orderpriority, sum(o_totalprice) AS t, count(*) AS n FROM orders GROUP BY o_orderpriority", {"privacy_seed": 7}),
+    "noise_untracked": ("SELECT o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority", {"pac_ptracking": False}),
+    "noise_laplace": ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", {"privacy_mode": "dp_elastic", "dp_delta": 1e-6}),
+    "noise_repaired_hash": ("SELECT count(*) AS n FROM customer", {"pac_hash_repair": True}),
+    "noise_min_group": ("SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber", {"privacy_min_group_count": 2.0}),
+}
+
+REFUSED = {
+    "protected_output": ("SELECT c_name FROM customer", "can only be accessed inside aggregate functions"),
+    "link_output": ("SELECT o_custkey FROM orders", "can only be accessed inside aggregate functions"),
+    "no_aggregate": ("SELECT o_orderstatus FROM orders", "does not contain any allowed aggregation"),
+    "window": ("SELECT sum(o_totalprice) OVER (PARTITION BY o_orderstatus) AS t FROM orders", "window functions are not supported"),
+    "except": ("SELECT count(*) AS n FROM (SELECT o_orderstatus FROM orders EXCEPT SELECT l_linestatus FROM lineitem) x", "subqueries are not supported"),
+    "full_join": ("SELECT count(*) AS n FROM orders FULL OUTER JOIN lineitem ON o_orderkey = l_orderkey", "subqueries are not supported"),
+    "unsupported": ("SELECT stddev(o_totalprice) AS s, count(*) AS n FROM orders", "unsupported aggregate function"),
+    "union_root": ("SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation", "can only be accessed inside aggregate functions"),
+    "group_by_key": ("SELECT c_custkey, count(*) AS n FROM customer GROUP BY c_custkey", "can only be accessed inside aggregate functions"),
+}
+
+
+def reject_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, EXACT)
+    rows = []
+    for name, (sql, part) in REFUSED.items():
+        try:
+            s.sql(sql)
+            rows.append((name, False))
+        except PrivacyError as e:
+            rows.append((name, part in str(e)))
+    return spark.createDataFrame(rows, "query string, refused boolean")
+
+
+def counters_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    h = pu_hash([F.col("o_custkey")], PrivacyConfig(**EXACT))
+    lists = orders.withColumn("h", h).groupBy("o_orderstatus").agg(worlds.pac_sum(F.col("h"), F.col("o_totalprice")).alias("c"))
+    return tidy(lists.select("o_orderstatus", F.posexplode("c").alias("world", "value")))
+
+
+def list_reaggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    h = pu_hash([F.col("o_custkey")], PrivacyConfig(**EXACT))
+    lists = orders.withColumn("h", h).groupBy("o_orderstatus", "o_orderpriority").agg(worlds.pac_count(F.col("h")).alias("c"))
+    over = lists.groupBy("o_orderstatus").agg(worlds.pac_sum_list(F.col("c")).alias("s"), worlds.pac_max_list(F.col("c")).alias("m"))
+    return tidy(over.select("o_orderstatus", F.posexplode(F.arrays_zip("s", "m")).alias("world", "z")).select("o_orderstatus", "world", "z.s", "z.m"))
+
+
+def filter_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose counters exceed a value in most worlds."""
+    cfg = PrivacyConfig(**EXACT)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").join(spark.read.parquet(f"{sf_dir}/customer.parquet"), F.col("o_custkey") == F.col("c_custkey"))
+    lists = orders.withColumn("h", pu_hash([F.col("c_custkey")], cfg)).groupBy("c_nationkey").agg(worlds.pac_count(F.col("h")).alias("c"), F.count("*").alias("n"))
+    limit = orders.groupBy("c_nationkey").count().agg(F.avg("count").alias("limit"))
+    return lists.crossJoin(F.broadcast(limit)).filter(worlds.pac_filter_cmp("lt", F.col("limit"), F.col("c"), cfg)).select("c_nationkey", "n")  # limit is one row
+
+
+def derived_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir, EXACT)
+    name = f"mv_{uuid.uuid4().hex}"
+    s.sql(f"CREATE TABLE {name} AS SELECT o_orderpriority AS p, sum(o_totalprice) AS t, count(*) AS n FROM orders GROUP BY o_orderpriority")
+    return tidy(s.sql(f"SELECT p, t, n FROM {name}"), 0)
+
+
+def diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(session(spark, sf_dir, EXACT | {"pac_diffcols": "1"}).sql("SELECT o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority"), 4)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = {name: run(q, settings, policy) for name, (q, settings, policy, _) in SQL.items()}
+    found |= {name: run(q, settings) for name, (q, settings) in NOISY.items()}
+    return found | {
+        "reject_catalogue": reject_catalogue, "pac_counters_unnest": counters_unnest, "pac_list_reagg": list_reaggregation,
+        "pac_filter_masks": filter_masks, "pac_derived_table": derived_table, "pac_utility_diff": diff_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {name: truth for name, (_, _, _, truth) in SQL.items()}
+    found["reject_catalogue"] = "SELECT * FROM (VALUES " + ", ".join(f"('{n}', TRUE)" for n in REFUSED) + ") t(query, refused)"
+    each = " UNION ALL ".join(f"SELECT o_orderstatus, {j} AS world, {s2('o_totalprice', world('o_custkey', j))} AS value FROM orders GROUP BY ALL" for j in range(64))
+    found["pac_counters_unnest"] = each
+    lists = " UNION ALL ".join(f"SELECT o_orderstatus, o_orderpriority, {j} AS world, CAST({c2(world('o_custkey', j))} AS DOUBLE) AS c FROM orders GROUP BY ALL" for j in range(64))
+    found["pac_list_reagg"] = f"SELECT o_orderstatus, world, sum(c) AS s, max(c) AS m FROM ({lists}) GROUP BY ALL"
+    above = " + ".join(f"CAST({c2(world('c_custkey', j))} > m AS INTEGER)" for j in range(64))
+    found["pac_filter_masks"] = f"WITH o AS (SELECT c_nationkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT avg(n) AS m FROM (SELECT count(*) AS n FROM o GROUP BY c_nationkey)) SELECT c_nationkey, count(*) AS n FROM o, l GROUP BY c_nationkey, m HAVING {above} >= 32"
+    found["pac_derived_table"] = f"SELECT o_orderpriority AS p, round(CAST(CAST({s2('o_totalprice', O)} AS FLOAT) AS DOUBLE), 0) AS t, CAST({c2(O)} AS DOUBLE) AS n FROM orders GROUP BY ALL"
+    found["pac_utility_diff"] = f"SELECT o_orderpriority, round(100 * abs(e - p) / greatest(1e-5, abs(e)), 4) AS t FROM (SELECT o_orderpriority, sum(o_totalprice) AS e, 2 * sum(CASE WHEN {O} THEN o_totalprice END) AS p FROM orders GROUP BY ALL)"
+    return found
+
+
+__all__ = ["noise", "oracle_sql", "queries", "utility_diff"]

@@ -1 +1,19 @@
+"""Tables from files, registered under their names."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def register_parquet(spark: SparkSession, folder: str, names: tuple[str, ...] = TABLES) -> None:
+    """Temporary views over `folder`/name.parquet; only the columns and rows that a query needs are read."""
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def register_csv(spark: SparkSession, path: str, name: str, schema: str, **options) -> DataFrame:
+    df = spark.read.schema(schema).options(**options).csv(path)
+    df.createOrReplaceTempView(name)
+    return df
