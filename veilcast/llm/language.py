@@ -238,7 +238,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
             yield pd.DataFrame({"lang_pred": preds, "score": scores})
 
     guess = F.pandas_udf(score, "lang_pred string, score double")
-    return df.drop("lang_pred", "score").withColumn("_g", guess(text_col)).select("*", "_g.lang_pred", "_g.score").drop("_g")
+    return df.drop("lang_pred", "score").withColumn("__vc_g", guess(text_col)).select("*", "__vc_g.lang_pred", "__vc_g.score").drop("__vc_g")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ def fit_distributed(cells: DataFrame, dims: list[str], tempers: list[float], bud
         mid = (low + high) / 2
         got = table.agg(F.sum(F.least(F.lit(1.0), F.lit(mid) * F.col("ratio")) * F.col("w"))).first()[0] or 0.0
         low, high = (mid, high) if got < budget * total else (low, mid)
-    return table.select(*dims, "ratio", F.least(F.lit(1.0), F.lit(high) * F.col("ratio")).alias("p"))
+    return table.select(*dims, "ratio", F.least(F.lit(1.0), F.lit(high) * F.col("ratio")).alias("probability"))
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", temper: dict[str, float] | None = None, budget: float = BUDGET, iterations: int = ITERATIONS, seed: str = SEED, max_cells: int = MAX_CELLS) -> DataFrame:
@@ -93,11 +93,11 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     names are replaced."""
     require(df, id_col, text_col, source_col, lang_col)
     powers = {**TEMPER, **(temper or {})}
-    dims, tempers = ["_source", "_lang", "topic"], [powers["source"], powers["lang"], powers["topic"]]
+    dims, tempers = ["__vc_source", "__vc_lang", "topic"], [powers["source"], powers["lang"], powers["topic"]]
     text = F.col(text_col)
     base = df.drop("n_words", "topic", "ratio", "probability", "kept")
     marked = base.withColumn("n_words", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")).withColumn("topic", surface_topic(text))
-    marked = marked.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("(null)"))).withColumn("_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("(null)")))
+    marked = marked.withColumn("__vc_source", F.coalesce(F.col(source_col).cast("string"), F.lit("(null)"))).withColumn("__vc_lang", F.coalesce(F.col(lang_col).cast("string"), F.lit("(null)")))
     cells = marked.groupBy(*dims).agg(F.sum("n_words").alias("w"))
     found = cells.limit(max_cells + 1).collect()
     spark = df.sparkSession
@@ -115,8 +115,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
             ratio = np.divide(rake(codes, weights, tempers, iterations), weights, out=ratio, where=weights > 0)
             c = scale_for_budget(ratio, weights, budget)
         rows = [(*[r[d] for d in dims], float(x), float(min(1.0, c * x))) for r, x in zip(found, ratio)]
-        fitted = F.broadcast(spark.createDataFrame(rows, "_source string, _lang string, topic string, ratio double, p double"))  # max_cells rows at most
-    out = marked.join(fitted, dims, "left").withColumnRenamed("p", "probability")
+        fitted = F.broadcast(spark.createDataFrame(rows, "__vc_source string, __vc_lang string, topic string, ratio double, probability double"))  # max_cells rows at most
+    out = marked.join(fitted, dims, "left")
     out = out.withColumn("kept", draw(id_col, seed) < F.coalesce("probability", F.lit(0.0)))
     return out.select(*base.columns, "n_words", "topic", "ratio", "probability", "kept")
 

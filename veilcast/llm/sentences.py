@@ -86,10 +86,10 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pd.DataFrame({"kept": kept, "n": n, "gone": gone})
 
     cutter = F.pandas_udf(cut, "kept string, n long, gone long")
-    tagged = df.withColumn("_k1", F.xxhash64(ids, text)).withColumn("_k2", F.xxhash64(text, ids, F.lit(1)))
-    joined = tagged.join(spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("starts").alias("_starts")), ["_k1", "_k2"], "left")
-    done = joined.withColumn("_cut", cutter(F.col(text_col), F.col("_starts")))
-    return done.select(*[F.col("_cut.kept").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("_cut.n").alias("n_sentences"), F.col("_cut.gone").alias("n_removed"))
+    tagged = df.withColumn("__vc_k1", F.xxhash64(ids, text)).withColumn("__vc_k2", F.xxhash64(text, ids, F.lit(1)))
+    joined = tagged.join(spans.select(F.col("k1").alias("__vc_k1"), F.col("k2").alias("__vc_k2"), F.col("starts").alias("__vc_starts")), ["__vc_k1", "__vc_k2"], "left")
+    done = joined.withColumn("__vc_cut", cutter(F.col(text_col), F.col("__vc_starts")))
+    return done.select(*[F.col("__vc_cut.kept").alias(c) if c == text_col else F.col(c) for c in df.columns], F.col("__vc_cut.n").alias("n_sentences"), F.col("__vc_cut.gone").alias("n_removed"))
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,12 +117,12 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEE
         return pd.Series(out)
 
     label = F.pandas_udf(deal, "int")
-    keyed = df.withColumn("_at", F.monotonically_increasing_id())
-    dealt = keyed.withColumn("shard", label("_at")).withColumn("_block", F.pmod(F.xxhash64("_at", F.lit(seed)), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy("shard", "_block").count()
-    offsets = counts.select("shard", "_block", (F.sum("count").over(W.partitionBy("shard").orderBy("_block")) - F.col("count")).alias("_first"))
-    within = W.partitionBy("shard", "_block").orderBy(F.xxhash64("_at", F.lit(seed + 1)), "_at")
-    placed = dealt.join(offsets, ["shard", "_block"]).withColumn("slot", F.col("_first") + F.row_number().over(within) - 1)
+    keyed = df.withColumn("__vc_at", F.monotonically_increasing_id())
+    dealt = keyed.withColumn("shard", label("__vc_at")).withColumn("__vc_block", F.pmod(F.xxhash64("__vc_at", F.lit(seed)), F.lit(blocks)).cast("int"))
+    counts = dealt.groupBy("shard", "__vc_block").count()
+    offsets = counts.select("shard", "__vc_block", (F.sum("count").over(W.partitionBy("shard").orderBy("__vc_block")) - F.col("count")).alias("__vc_first"))
+    within = W.partitionBy("shard", "__vc_block").orderBy(F.xxhash64("__vc_at", F.lit(seed + 1)), "__vc_at")
+    placed = dealt.join(offsets, ["shard", "__vc_block"]).withColumn("slot", F.col("__vc_first") + F.row_number().over(within) - 1)
     return placed.select(*df.columns, "shard", F.col("slot").cast("long").alias("slot"))
 
 
