@@ -7,10 +7,11 @@ which the sets differ, so its population count estimates a high similarity close
 only if that count is at most what a pair at the threshold exceeds with a chance below 1e-9. What is
 left is confirmed on the full sets.
 
-Documents of equal sets are one class. In a bucket of few classes all surviving pairs go on; in a larger
-one a maximum spanning forest, which is enough where all of it is confirmed. A bucket with more than BLOCK members
-is dealt over blocks. Buckets in which a component is still open are then searched between components, over block
-pairs, with more candidates each round, until every candidate between components was confirmed or refuted.
+Documents of equal sets are one class. Surviving proposals are only used to split classes in candidate groups, so a
+bucket of many classes gives a spanning forest of them. Every link lies within a group. The whole texts of a group's
+classes are then brought together once, dealt over block pairs where they are many or long, and links are confirmed on
+the full sets of all pairs that the sketches let through; a task gives back a spanning forest of its links. A
+group of more than GROUP classes is taken apart again into its buckets, as proposals chain.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import drop_path, mix64, require, stage_table
-from .components import components
+from .common import mix64, require, stage_table
+from .components import components, forest
 
 BANDS, ROWS = 28, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 BLOCK = 1024
 SMALL = 8
-FIRST_WAVE = 8
+GROUP = 8 * BLOCK
+BLOCK_BYTES = 32 << 20
 SEED = 20231
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 U = np.uint64
@@ -135,17 +137,6 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
-def shingle_sets(df: DataFrame, words: int) -> DataFrame:
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                yield pa.record_batch([part.column(0), pa.array([shingle(raw).view(np.int64) for raw in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["id", "s"])
-
-    return df.mapInArrow(sets, "id long, s array<long>")
-
-
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Whole groups of rows sorted by their first column, several at a time: column name to arrays."""
     held: list[pa.RecordBatch] = []
@@ -172,34 +163,18 @@ def counts_between(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def spanning_forest(counts: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Edges of a minimum spanning forest over the pairs with a count of at most `limit` (Prim)."""
-    n, edges = len(counts), []
-    best, source, open_ = np.full(n, limit + 1, np.int64), np.full(n, -1), np.ones(n, bool)
-    for _ in range(n):
-        at = int(np.where(open_, best, 1 << 30).argmin())
-        if best[at] <= limit and source[at] >= 0:
-            edges.append((int(source[at]), at))
-        open_[at] = False
-        closer = open_ & (counts[at] < best)
-        best[closer] = counts[at][closer]
-        source[closer] = at
-    return edges
-
-
 def _sketches(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, U).reshape(-1, SKETCH_BITS // 64)
 
 
 def _first_wave(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, sketch, split) sorted by key -> (a, b, key, more): candidate links; more marks a
-    bucket of which not all candidates are listed."""
+    """Rows (key, id, sketch) sorted by key -> (a, b): a spanning forest of the candidates of whole buckets."""
     for table in groups_of(batches):
         key, ids, x = table.column(0).to_numpy(), table.column(1).to_numpy(), _sketches(table.column(2))
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         size = np.diff(bounds)
-        a, b, k, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         few = np.repeat(size <= SMALL, size)
         for d in range(1, SMALL):
             at = np.flatnonzero((key[:-d] == key[d:]) & few[:-d]) if d < len(key) else np.zeros(0, np.int64)
@@ -207,49 +182,68 @@ def _first_wave(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Re
                 at = at[np.bitwise_count(x[at] ^ x[at + d]).sum(axis=1) <= limit]
                 a.append(ids[at])
                 b.append(ids[at + d])
-        n_small = sum(map(len, a))
         for lo, hi in zip(bounds[:-1][size > SMALL].tolist(), bounds[1:][size > SMALL].tolist()):
-            counts = counts_between(x[lo:hi], x[lo:hi])
-            r, c = np.nonzero(np.triu(counts <= limit, 1))
-            if len(r) > 4 * (hi - lo):
-                edges = spanning_forest(counts, limit)
-                r, c = np.array([e[0] for e in edges], np.int64), np.array([e[1] for e in edges], np.int64)
-                more.append(int(key[lo]))
+            r, c = np.nonzero(np.triu(counts_between(x[lo:hi], x[lo:hi]) <= limit, 1))
             a.append(ids[lo:hi][r])
             b.append(ids[lo:hi][c])
-        a, b = np.concatenate(a), np.concatenate(b)
-        yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([None] * len(a), pa.int64())], names=["a", "b", "open"])
-        if more:
-            yield pa.record_batch([pa.array([None] * len(more), pa.int64()), pa.array([None] * len(more), pa.int64()), pa.array(more, pa.int64())], names=["a", "b", "open"])
-        del n_small
+        a, b = forest(np.concatenate(a), np.concatenate(b))  # the same pair meets in many buckets
+        yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _next_wave(batches: Iterator[pa.RecordBatch], limit: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, sketch, label, side) sorted by key -> candidates between components: the `most`
-    closest for each pair of components that meets, and whether there were more."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Intersection sizes of all pairs of sets, by products of incidence columns."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, codes, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(counts > 1) - 1
+    keep = counts[codes] > 1
+    owner, codes = owner[keep], shared[codes[keep]]
+    order = np.argsort(codes, kind="stable")
+    owner, codes = owner[order], codes[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for lo in range(0, int(shared[-1]) + 1 if len(shared) else 0, width):
+        a, b = np.searchsorted(codes, (lo, lo + width))
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[a:b], codes[a:b] - lo] = 1
+        total += block @ block.T
+    return total.astype(np.int64)
+
+
+def confirmed(sets: list[np.ndarray], r: np.ndarray, c: np.ndarray, numerator: int) -> np.ndarray:
+    """Which of the pairs (r, c) are links on the full sets."""
+    n = np.array([len(s) for s in sets], np.int64)
+    if len(r) > 20_000:
+        common = common_counts(sets)[r, c]
+    else:
+        common = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(r.tolist(), c.tolist())], np.int64)
+    return 100 * common >= numerator * (n[r] + n[c] - common)
+
+
+def _confirm(batches: Iterator[pa.RecordBatch], words: int, limit: int, numerator: int) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, side, sketch, text) sorted by key -> spanning forests of the links found."""
+    shingle = Shingler(words)
     for table in groups_of(batches):
-        key, ids, x, label, side = table.column(0).to_numpy(), table.column(1).to_numpy(), _sketches(table.column(2)), table.column(3).to_numpy(), table.column(4).to_numpy()
+        key, ids, side, x, texts = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _sketches(table.column(3)), table.column(4)
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        out_a, out_b = [], []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            own, s, names = label[lo:hi], side[lo:hi], ids[lo:hi]
-            counts = counts_between(x[lo:hi], x[lo:hi])
-            good = (counts <= limit) & (own[:, None] != own[None, :])
-            if s.any():
-                good &= (s[:, None] == 1) & (s[None, :] == 2)
-            else:
-                good = np.triu(good, 1)
-            r, c = np.nonzero(good)
-            if not len(r):
+            if hi - lo < 2:
                 continue
-            low, high = np.minimum(own[r], own[c]), np.maximum(own[r], own[c])
-            order = np.lexsort((names[c], names[r], counts[r, c], high, low))
-            r, c, low, high = r[order], c[order], low[order], high[order]
-            fresh = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-            rank = np.arange(len(r)) - np.repeat(fresh, np.diff(np.append(fresh, len(r))))
-            keep = rank < most
-            a, b = names[r[keep]], names[c[keep]]
-            cut = [bool((~keep).any())] * len(a)
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(cut)], names=["a", "b", "cut"])
+            s = side[lo:hi]
+            good = np.triu(counts_between(x[lo:hi], x[lo:hi]) <= limit, 1)
+            if s.any():  # two blocks meet; pairs inside a block are another task's
+                good &= s[:, None] != s[None, :]
+            r, c = np.nonzero(good)
+            if len(r):
+                used, at = np.unique(np.concatenate([r, c]), return_inverse=True)
+                sets = [shingle(texts[lo + k].as_py()) for k in used.tolist()]
+                ok = confirmed(sets, at[: len(r)], at[len(r) :], numerator)
+                a, b = forest(ids[lo:hi][r[ok]], ids[lo:hi][c[ok]])
+                out_a.append(a)
+                out_b.append(b)
+        if out_a:
+            yield pa.record_batch([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, numerator: int = 80) -> DataFrame:
@@ -270,46 +264,32 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = signed.filter("n > 0 AND id IS NOT NULL")
     classes, _ = stage_table(real.groupBy("k1", "k2").agg(F.min(F.struct("id", "bands", "sketch")).alias("m")).select("k1", "k2", "m.*"))
     keys = classes.select("id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    members = keys.join(sizes, "key").join(classes.select("id", "sketch"), "id")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).filter("m > 1")
+    members, _ = stage_table(keys.join(sizes, "key"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    members, _ = stage_table(members.select("key", "id", "sketch", blocks.alias("blocks"), F.pmod(F.xxhash64("id", F.lit(SEED)), blocks).cast("int").alias("mine")))
-    first = members.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", "mine")).alias("key"), "id", "sketch")
-    wave, _ = stage_table(first.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _first_wave(x, limit), "a long, b long, open long"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) on the full sets."""
-        ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        sets, _ = stage_table(shingle_sets(docs.join(ends, "id", "left_semi").dropDuplicates(["id"]), words))
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return stage_table(both.select("a", "b", (100 * common >= numerator * (F.size("sa") + F.size("sb") - common)).alias("ok")))[0]
-
-    tested = confirm(wave.filter("a IS NOT NULL").select("a", "b").distinct())
-    labels = components(tested.filter("ok"))
-    unsettled = wave.filter("open IS NOT NULL").select(F.col("open").alias("key")).distinct()
-    open_ = members.join(unsettled, "key", "left_semi").filter("blocks = 1").unionByName(members.filter("blocks > 1"))
-    most = FIRST_WAVE
-    while True:
-        named = open_.join(labels.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        split = named.groupBy("key").agg((F.min("label") < F.max("label")).alias("several")).filter("several").select("key")
-        pending, path = stage_table(named.join(split, "key", "left_semi"))
-        if pending.isEmpty():
-            break
-        spread = pending.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        low, high = F.least("mine", "other"), F.greatest("mine", "other")
-        side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-        dealt = spread.select(F.xxhash64("key", low, high, side == 0).alias("key"), "id", "sketch", "label", side.cast("int").alias("side"))
-        found, _ = stage_table(dealt.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x, m=most: _next_wave(x, limit, m), "a long, b long, cut boolean"))
-        fresh, _ = stage_table(found.select("a", "b").distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-        drop_path(spark, path)
-        if fresh.isEmpty():
-            if found.filter("cut").isEmpty():
-                break
-        else:
-            tested, _ = stage_table(tested.unionByName(confirm(fresh)))
-            labels = components(tested.filter("ok"))
-        most *= 8
+    mine = F.pmod(F.xxhash64("id", F.lit(SEED)), blocks).cast("int")
+    first = members.join(classes.select("id", "sketch"), "id").select(F.when(F.col("m") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", mine)).alias("key"), "id", "sketch")
+    wave = first.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _first_wave(x, limit), "a long, b long")
+    # a bucket of several blocks is one group as a whole: candidates may lie across its blocks
+    wide = members.filter(F.col("m") > BLOCK).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    grouped = components(wave.unionByName(wide))
+    group, _ = stage_table(grouped.unionByName(grouped.select(F.col("component").alias("id"), "component").distinct()))
+    texts = docs.join(group, "id").join(classes.select("id", "sketch"), "id").dropDuplicates(["id"])
+    texts, _ = stage_table(texts)
+    size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    small = size.filter(F.col("n") <= GROUP).select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    large = size.filter(F.col("n") > GROUP).select("component")
+    whole = texts.join(small, "component").select(F.col("component").alias("key"), "id", "sketch", "text", "blocks")
+    apart = members.join(texts.join(large, "component", "left_semi"), "id")
+    apart = apart.select("key", "id", "sketch", "text", "m", F.octet_length("text").alias("bytes"))
+    heavy = apart.groupBy("key").agg(F.sum("bytes").alias("total"))
+    apart = apart.join(heavy, "key").select("key", "id", "sketch", "text", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = whole.unionByName(apart).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    placed = dealt.select(F.xxhash64("key", low, high).alias("key"), "id", side.cast("int").alias("side"), "sketch", "text")
+    links = placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _confirm(x, words, limit, numerator), "a long, b long")
+    labels = components(links)
     named = classes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
     out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
