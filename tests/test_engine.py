@@ -129,3 +129,30 @@ def test_tables_settings_and_metadata(spark, tmp_path):
     for t in ("people", "mv"):
         s.drop_table(t)
     assert s.catalog.get("people") is None
+
+
+def test_clip_drops_unsupported_levels(spark):
+    from veilcast.functions import key_hash_column
+    from veilcast.operators.clip import pac_clip_sum
+
+    rows = [(k, 100.0) for k in range(50)] + [(99, 1e9)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    h = key_hash_column(F.col("k"))
+    clipped = pac_clip_sum(df, [], h, F.col("v"), PrivacyConfig(pac_clip_support=10)).first()["value"]
+    scaled = pac_clip_sum(df, [], h, F.col("v"), PrivacyConfig(pac_clip_support=10, pac_clip_scale=True)).first()["value"]
+    assert max(clipped) <= 2 * 50 * 100 and abs(sum(clipped) / 64 - 5000) < 1500 and max(scaled) < 1e5
+
+
+def test_correlation_is_taken_apart():
+    from veilcast.operators.emit import conjuncts
+
+    assert conjuncts("((`a` = `b`) AND ((`c` > 1) AND (f(`d`, 2) OR (`e` AND `g`))))") == ["`a` = `b`", "`c` > 1", "f(`d`, 2) OR (`e` AND `g`)"]
+
+
+def test_functions_in_sql_text():
+    from veilcast.functions import sqltext
+
+    text = sqltext.expand("SELECT pac_mean(pac_sum(h, v)), 'pac' FROM t", PrivacyConfig())
+    assert not sqltext.calls(text) and text.count("sum(") >= 64
+    with pytest.raises(PrivacyError, match="unknown function"):
+        sqltext.expand("SELECT pac_nothing(1)", PrivacyConfig())

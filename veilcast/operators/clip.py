@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PrivacyConfig
-from ..functions import worlds
+from ..functions import noise, worlds
 
 LEVELS = 30
 
@@ -50,3 +50,32 @@ def clip_branch(per_unit: DataFrame, keys: list[str], value: str, func: str, con
         return F.coalesce((F.array_max if func == "max" else F.array_min)(F.filter(values, lambda x: x.isNotNull())), F.lit(0.0))
 
     return kept.select(*keys, F.transform(F.sequence(F.lit(0), F.lit(63)), world).alias(counters), F.aggregate("__k", F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x["m"])).alias(mask))
+
+
+def pac_clip(df: DataFrame, keys: list[str], h: Column, value: Column, func: str, config: PrivacyConfig, noised: bool = False, correction: float = 1.0) -> DataFrame:
+    """(keys, value): clipped sum, min or max by group as 64 counters, or as one released answer.
+
+    Rows are first summed (or reduced to their extreme) by unit, so that a level counts units."""
+    unit = {"sum": F.sum, "min": F.min, "max": F.max}[func]
+    per_unit = df.select(*keys, h.alias("__h"), value.cast("double").alias("__x")).filter("__h IS NOT NULL").groupBy(*keys, "__h").agg(unit("__x").alias("__x"))
+    out = clip_branch(per_unit, keys, "__x", func, config, "__c", "__m")
+    scale = 2.0 if func == "sum" else 1.0
+    if noised:
+        answer = noise.release(F.col("__c"), F.col("__m"), config, correction, scale, f"clip_{func}", [F.col(k) for k in keys], func == "sum")
+    else:
+        factor = scale * (correction if func == "sum" else 1.0)
+        answer = F.transform("__c", lambda c, j: F.when(F.call_function("shiftrightunsigned", F.col("__m"), j).bitwiseAND(F.lit(1).cast("long")) == 1, c * factor).otherwise(F.lit(0.0)))
+    return out.select(*keys, answer.alias("value"))
+
+
+def _named(func: str, noised: bool):
+    def call(df: DataFrame, keys: list[str], h: Column, value: Column, config: PrivacyConfig, correction: float = 1.0) -> DataFrame:
+        return pac_clip(df, keys, h, value, func, config, noised, correction)
+
+    return call
+
+
+pac_clip_sum, pac_clip_min, pac_clip_max = (_named(f, False) for f in ("sum", "min", "max"))
+pac_noised_clip_sum, pac_noised_clip_min, pac_noised_clip_max = (_named(f, True) for f in ("sum", "min", "max"))
+#: A count is the sum of each unit's count of rows.
+pac_noised_clip_sumcount = pac_noised_clip_sum

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..catalog import PrivacyCatalog, PrivacyError, plain
 from ..config import PrivacyConfig
 from ..functions import pu_hash
 from ..functions.worlds import WORLDS, pack
-from ..plans.ir import Expr, Node
+from ..plans.ir import Expr, Node, Sub
 
 
 @dataclass
@@ -70,8 +71,8 @@ class Emitter:
             out.hashes[unit] = (name, len(path), decides)
         return out
 
-    def counters_of(self, n: Node) -> DataFrame | None:
-        """The counter list of a private scalar aggregate, where a compiler knows how to make it."""
+    def counters_of(self, n: Node, keys: list[str]) -> DataFrame | None:
+        """The counter lists of a private scalar aggregate by correlated columns, where a compiler can make them."""
         return None
 
     # subqueries
@@ -83,7 +84,9 @@ class Emitter:
             self.n_hash += 1
             name = f"__s{self.n_hash}"
             if s.outer:
-                raise PrivacyError("correlated subqueries over private tables must be written as joins")
+                e = self.correlated(e, s, name)
+                subs.append(f"`{name}`")
+                continue
             inner = self.plain_or_compiled(s.plan)
             u = inner.columns[0]
             if s.kind == "scalar":
@@ -102,6 +105,27 @@ class Emitter:
                 subs.append(f"coalesce(`{name}`, false)")
         return e, Expr(x.fill(x_aggs(x), subs), x.refs, x.type, x.attr)
 
+    def correlated(self, e: Emitted, s: Sub, name: str) -> Emitted:
+        """A subquery correlated by equalities: computed for all values of the inner columns, then joined."""
+        plan, pairs = decorrelate(s)
+        inner = self.plain_or_compiled(plan)
+        keys = [F.col(f"`{u}`").alias(f"{name}k{k}") for k, u in enumerate([u for u, _, _ in plan.output][-len(pairs) :])]
+        cond = F.lit(True)
+        for k, (_, outer) in enumerate(pairs):
+            cond = cond & (F.col(f"`{outer}`") == F.col(f"{name}k{k}"))
+        if s.kind == "scalar":
+            right = inner.select(*keys, F.col(f"`{plan.output[0][0]}`").alias(name))
+        else:
+            if s.kind == "in":
+                cond = cond & (F.expr(s.needle.fill()) == F.col(name + "v"))
+                keys.append(F.col(f"`{plan.output[0][0]}`").alias(name + "v"))
+            right = inner.select(*keys).distinct().withColumn(name, F.lit(True))
+        drop = [c for c in right.columns if c != name]
+        df = e.df.join(right, cond, "left").drop(*drop)
+        if s.kind != "scalar":
+            df = df.withColumn(name, F.coalesce(name, F.lit(False)))
+        return Emitted(df, e.hashes)
+
     def plain_or_compiled(self, n: Node) -> DataFrame:
         return self.compile(n) if self.compile else self.emit(n, set()).df
 
@@ -114,8 +138,15 @@ class Emitter:
             return self.hashed_scan(n, units) if units else Emitted(self.scan(n))
         if n.kind == "filter":
             e = self.emit(n.children[0], units)
-            if n.cond.subs and units and (masked := self.masked_filter(e, n.cond)):
-                return masked
+            if n.cond.subs:  # all that needs no subquery first: it may hold the keys of a join below
+                parts = conjuncts(n.cond.text)
+                for part in parts:
+                    if "{S" not in part:
+                        e = Emitted(e.df.filter(part), e.hashes)
+                text = " AND ".join(f"({x})" for x in parts if "{S" in x)
+                n = Node("filter", n.children, n.output, cond=Expr(text, n.cond.refs, n.cond.type, None, n.cond.aggs, n.cond.subs, n.cond.outer))
+                if units and (masked := self.masked_filter(e, n.cond)):
+                    return masked
             e, cond = self.with_subqueries(e, n.cond, bool(units))
             return Emitted(e.df.filter(cond.text), e.hashes)
         if n.kind == "project":
@@ -152,6 +183,11 @@ class Emitter:
         if n.kind == "offset":
             e = self.emit(n.children[0], units)
             return Emitted(e.df.offset(n.n), e.hashes)
+        if n.kind == "expand":
+            e = self.emit(n.children[0], units)
+            rows = [F.struct(*[F.expr(x.text).cast(t.lower()).alias(u) for x, (u, _, t) in zip(row, n.output)]) for row in n.rows]
+            hashes = [h[0] for h in e.hashes.values()]
+            return Emitted(e.df.select(F.explode(F.array(*rows)).alias("__e"), *hashes).select("__e.*", *hashes), e.hashes)
         if units:
             raise PrivacyError(f"PAC rewrite: a {n.kind} node is not supported below a private aggregate")
         return Emitted(self.raw(n))
@@ -225,12 +261,20 @@ class Emitter:
     def masked_filter(self, e: Emitted, cond: Expr) -> Emitted | None:
         """A condition on an uncorrelated scalar subquery over private data, below a private aggregate: rows
         keep the worlds in which it holds, and go if none is left."""
-        if not (self.config.pac_select and self.config.pac_categorical) or len(cond.subs) != 1 or cond.subs[0].kind != "scalar" or cond.subs[0].outer:
+        if not (self.config.pac_select and self.config.pac_categorical) or len(cond.subs) != 1 or cond.subs[0].kind != "scalar":
             return None
-        counters = self.counters_of(cond.subs[0].plan)
+        s = cond.subs[0]
+        plan, pairs = decorrelate(s) if s.outer else (s.plan, [])
+        counters = self.counters_of(plan, [i for i, _ in pairs])
         if counters is None:
             return None
-        df = e.df.crossJoin(F.broadcast(counters.withColumnRenamed(counters.columns[0], "__c")))  # one row
+        if pairs:
+            match = F.lit(True)
+            for inner, outer in pairs:
+                match = match & (F.col(f"`{outer}`") == F.col(f"__k_{inner}"))
+            df = e.df.join(counters.withColumnRenamed("c", "__c"), match, "inner").drop(*[f"__k_{i}" for i, _ in pairs])
+        else:
+            df = e.df.crossJoin(F.broadcast(counters.withColumnRenamed("c", "__c")))  # one row
         world = cond.fill([], ["element_at(__c, CAST(__j AS INT) + 1)"])
         bits = F.expr(f"transform(sequence(0, {WORLDS - 1}), __j -> {world})")
         mask = pack(bits)
@@ -240,6 +284,72 @@ class Emitter:
         return Emitted(df.drop("__c").filter(F.col(first) != 0), e.hashes)
 
 
+def conjuncts(text: str) -> list[str]:
+    """The parts of a conjunction."""
+    text = text.strip()
+    while text.startswith("(") and _closes(text) == len(text) - 1:
+        text = text[1:-1].strip()
+    depth, parts, at = 0, [], 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if depth == 0 and text[k : k + 5] == " AND ":
+            parts.append(text[at:k])
+            at = k + 5
+    parts.append(text[at:])
+    return parts if len(parts) == 1 else [x for p in parts for x in conjuncts(p)]
+
+
+def _closes(text: str) -> int:
+    depth = 0
+    for k, c in enumerate(text):
+        depth += (c == "(") - (c == ")")
+        if depth == 0:
+            return k
+    return -1
+
+
+def decorrelate(s: Sub) -> tuple[Node, list[tuple[str, str]]]:
+    """The subquery's plan without its correlation, whose inner columns are further outputs (and groups), with
+    the pairs (inner, outer) of columns that have to be equal."""
+    pairs: list[tuple[str, str]] = []
+
+    def strip(n: Node) -> Node:
+        kept = []
+        if n.kind == "filter" and set(n.cond.outer):
+            for part in conjuncts(n.cond.text):
+                m = re.fullmatch(r"\(*`(\w+)` = `(\w+)`\)*", part.strip())
+                if m and (m[2] in s.outer) != (m[1] in s.outer):
+                    pairs.append((m[1], m[2]) if m[2] in s.outer else (m[2], m[1]))
+                elif any(f"`{o}`" in part for o in s.outer):
+                    raise PrivacyError("a correlated subquery may refer to outer columns by equality only")
+                else:
+                    kept.append(part)
+            child = strip(n.children[0])
+            return child if not kept else Node("filter", [child], n.output, cond=Expr(" AND ".join(f"({k})" for k in kept), n.cond.refs, "BOOLEAN", None, [], n.cond.subs))
+        if n.kind not in ("filter", "project", "aggregate", "join"):
+            return n
+        before = len(pairs)
+        children = [strip(c) for c in n.children]
+        new = pairs[before:]
+        out = Node(n.kind, children, list(n.output), n.table, list(n.exprs), list(n.groups), n.grouping_sets, n.cond, n.how, n.orders, n.n)
+        for inner, _ in new:
+            x, kind = Expr(f"`{inner}`", [inner], "", inner), next((t for c in children for u, _, t in c.output if u == inner), "")
+            if n.kind in ("project", "aggregate"):
+                out.exprs.append((x, inner))
+                out.output.append((inner, inner, kind))
+            if n.kind == "aggregate":
+                out.groups.append(x)
+        return out
+
+    plan = strip(s.plan)
+    if not pairs:
+        raise PrivacyError("a correlated subquery needs an equality with an outer column")
+    if plan.kind not in ("project", "aggregate"):
+        names = [(Expr(f"`{u}`", [u], t, u), u) for u, _, t in plan.output] + [(Expr(f"`{i}`", [i], "", i), i + "__k") for i, _ in pairs]
+        plan = Node("project", [plan], [(u, u, "") for _, u in names], exprs=names)
+    return plan, pairs
+
+
 def group_outputs(n: Node) -> list:
     """The output columns of a grouped result: its aggregates by name, all else over the group keys __g0, __g1, ..."""
     texts = {g.text: f"`__g{k}`" for k, g in enumerate(n.groups)}

@@ -100,16 +100,29 @@ class WorldsCompiler(Emitter):
             return self.scan(n)
         return self.raw(n)
 
-    def counters_of(self, n: Node) -> DataFrame | None:
-        """The one counter list of an ungrouped private aggregate, for comparison world by world."""
-        while n.kind in ("project", "sort", "limit") and len(n.children) == 1 and (n.kind != "project" or len(n.exprs) == 1 and n.exprs[0][0].attr):
+    def counters_of(self, n: Node, keys: list[str]) -> DataFrame | None:
+        """(c, __k_<key>, ...): the counter list of a private scalar aggregate, by its correlated columns, for
+        comparison world by world. A projection above the aggregate is evaluated in each world."""
+        top: Expr | None = None
+        while n.kind in ("project", "sort", "limit") and len(n.children) == 1:
+            if n.kind == "project":
+                own = [(x, u) for x, u in n.exprs if u not in keys]
+                if len(own) != 1 or top is not None and own[0][0].attr is None:
+                    return None
+                top = own[0][0] if own[0][0].attr is None else top
             n = n.children[0]
-        if not self.is_target(n) or n.groups or len(n.exprs) != 1:
+        own = [(x, u) for x, u in n.exprs if u not in keys] if n.kind == "aggregate" else []
+        if not self.is_target(n) or len(n.groups) != len(keys) or len(own) != 1:
             return None
         df, _, outs = self.counted(n)
+        found = next(o for o in outs if o[1] == own[0][1])
         self.extra = []
-        made = self.per_world(outs[0][0], outs[0][2])
-        return df.select("*", *[c.alias(name) for name, c in self.extra]).select(made.alias("c"))
+        made = self.per_world(found[0], found[2])
+        df = df.select("*", *[c.alias(name) for name, c in self.extra]).withColumn("c", made)
+        if top is not None:
+            df = df.withColumn("__inner", F.col("c")).withColumn("c", F.expr(f"transform(sequence(0, 63), __j -> double({top.text.replace(f'`{own[0][1]}`', 'element_at(__inner, CAST(__j AS INT) + 1)')}))"))
+        groups = {g.attr: f"__g{k}" for k, g in enumerate(n.groups)}
+        return df.select("c", *[F.col(groups[i]).alias(f"__k_{i}") for i in keys])
 
     # counting
 

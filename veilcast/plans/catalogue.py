@@ -160,6 +160,26 @@ add(
     "pac_in_subquery", "SELECT count(*) AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
     f"SELECT {c2(O)} AS n FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)",
 )
+add(
+    "pac_q17_correlated", "SELECT sum(l_extendedprice) AS t, count(*) AS n FROM lineitem, part WHERE p_partkey = l_partkey AND p_size < 25 AND l_quantity < (SELECT avg(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)",
+    f"WITH a AS (SELECT l_partkey AS k, avg(l_quantity) AS m FROM {LO} WHERE {O} GROUP BY ALL) SELECT {s2('l_extendedprice', O)} AS t, {c2(O)} AS n FROM {LO} JOIN part ON p_partkey = l_partkey JOIN a ON k = p_partkey WHERE p_size < 25 AND l_quantity < m",
+)
+add(
+    "pac_q20_scaled", "SELECT count(*) AS n FROM lineitem, part WHERE p_partkey = l_partkey AND l_quantity > (SELECT 0.05 * sum(l_quantity) FROM lineitem l2 WHERE l2.l_partkey = p_partkey)",
+    f"WITH a AS (SELECT l_partkey AS k, 0.05 * 2 * sum(l_quantity) AS m FROM {LO} WHERE {O} GROUP BY ALL) SELECT {c2(O)} AS n FROM {LO} JOIN part ON p_partkey = l_partkey JOIN a ON k = p_partkey WHERE l_quantity > m",
+)
+add(
+    "pac_q21_exists", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY o_orderpriority",
+    f"SELECT o_orderpriority, {c2(O)} AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY ALL",
+)
+add(
+    "pac_rollup", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+    f"SELECT o_orderstatus, o_orderpriority, {c2(O)} AS n, {s2('o_totalprice', O)} AS t FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)",
+)
+add(
+    "pac_functions_in_sql", "SELECT o_orderstatus, pac_noised_sum(pac_hash(CAST(conv(substr(md5(CAST(o_custkey AS STRING)), 1, 16), 16, -10) AS BIGINT)), o_totalprice) AS t, pac_mean(pac_count(pac_hash(CAST(conv(substr(md5(CAST(o_custkey AS STRING)), 1, 16), 16, -10) AS BIGINT)))) AS m FROM orders GROUP BY o_orderstatus",
+    f"SELECT o_orderstatus, {s2('o_totalprice', O)} AS t, round(2 * sum({popcount('o_custkey')}) / 64.0, 2) AS m FROM orders GROUP BY ALL",
+)
 P = f"sum(o_totalprice * {popcount('o_custkey')})"
 for name, extra in (("pac_topk", {}), ("pac_topk_expansion", {"pac_topk_expansion": 2.0})):
     top = f"SELECT n_name, 2 * sum(CASE WHEN {C} THEN o_totalprice END) AS t, {P} AS m FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name ORDER BY m DESC LIMIT {10 if extra else 5}"
