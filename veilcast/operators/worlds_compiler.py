@@ -167,7 +167,7 @@ class WorldsCompiler(Emitter):
 
     def plain_branch(self, rows: DataFrame, keys: list[str], calls: list[Agg], cells: dict) -> DataFrame:
         """Counters by way of one row for each (group, unit hash)."""
-        first, second = [F.count("*").alias("__u")], []
+        first = [F.count("*").alias("__u")]
         for k, a in enumerate(calls):
             value = F.lit(1) if a.arg is None else F.expr(a.arg.fill())
             v = value if a.where is None else F.when(F.expr(a.where.fill()), value)
@@ -179,14 +179,14 @@ class WorldsCompiler(Emitter):
             else:
                 first += [(F.min if a.func == "min" else F.max)(number).alias(f"__v{k}")]
         per_unit = rows.filter("__h IS NOT NULL").groupBy(*keys, "__h").agg(*first)
-        h, clipped = F.col("__h"), []
+        clipped: list[tuple] = []
+        specs: list[tuple] = []
 
         def made(k: int, c: str, m: str, value: Column, func: str, column: str) -> None:
             if self.config.pac_clip_support is not None:
                 clipped.append((f"__{c}{k}", f"__{m}{k}", func, f"CASE WHEN {column} > 0 THEN {column} END" if column.startswith("__n") else column))
-                return
-            values = worlds.world_sums(h, value) if func == "sum" else worlds.world_extremes(h, value, func == "max")
-            second.extend([F.array(*values).alias(f"__{c}{k}"), worlds.seen(h, value).alias(f"__{m}{k}")])
+            else:
+                specs.append((f"__{c}{k}", f"__{m}{k}", func, value))
 
         for k, a in enumerate(calls):
             v, n = F.col(f"__v{k}"), F.col(f"__n{k}")
@@ -204,13 +204,42 @@ class WorldsCompiler(Emitter):
                 made(k, "c", "m", v, "sum", f"__v{k}")
                 made(k, "d", "e", some, "sum", f"__n{k}")
                 cells[id(a)] = (Cell(f"__c{k}", f"__m{k}", 2, True, "DOUBLE"), Cell(f"__d{k}", f"__e{k}", 2, True, "DOUBLE"))
-        second += [F.sum("__u").alias("__updates"), worlds.seen(h).alias("__mall")]
-        df = per_unit.groupBy(*keys).agg(*second)
+        df = self.world_table(per_unit, keys, specs, F.col("__u"))
         for counters, mask, func, column in clipped:
             part = clip_branch(per_unit.withColumn("__x", F.expr(column)), keys, "__x", func, self.config, counters, mask)
             df = self.beside(df, part, keys)
         return df
 
+    @staticmethod
+    def world_table(rows: DataFrame, keys: list[str], specs: list[tuple], updates: Column | None = None) -> DataFrame:
+        """(keys, counters and mask of each spec, __updates): the values of rows (hash __h) in each world.
+
+        A row becomes one for each world and is aggregated at once by (group, world), so that neither the plan nor its generated code
+        grows with 64 times the aggregates; 64 rows a group are then put together."""
+        there = F.call_function("shiftrightunsigned", F.col("__h"), F.col("__j")).bitwiseAND(F.lit(1).cast("long")) == 1
+        names = [f"__i{k}" for k in range(len(specs))]
+        wide = rows.select(*keys, "__h", *([updates.alias("__u0")] if updates is not None else []), *[value.alias(n) for n, (_, _, _, value) in zip(names, specs)])
+        aggs = [F.sum("__u0" if updates is not None else F.lit(1)).alias("__u")]
+        aggs += [{"sum": F.sum, "min": F.min, "max": F.max}[func](F.when(there, F.col(n).cast("double"))).alias(f"__a{k}") for k, (n, (_, _, func, _)) in enumerate(zip(names, specs))]
+        each = wide.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(worlds.WORLDS - 1)))).groupBy(*keys, "__j").agg(*aggs)
+        cells = F.collect_list(F.struct("__j", *[f"__a{k}" for k in range(len(specs))]))  # 64 a group
+        lists = each.groupBy(*keys).agg(F.array_sort(cells).alias("__l"), F.coalesce(F.max("__u"), F.lit(0)).alias("__updates"))
+        out = []
+        for k, (counters, mask, _, _) in enumerate(specs):
+            values = F.transform("__l", WorldsCompiler._field(k))
+            out.append(F.when(F.size("__l") == worlds.WORLDS, values).otherwise(F.array_repeat(F.lit(0.0), worlds.WORLDS)).alias(counters))
+            out.append(F.aggregate("__l", F.lit(0).cast("long"), WorldsCompiler._or(k)).alias(mask))
+        return lists.select(*keys, "__updates", *out)
+
+    @staticmethod
+    def _field(k: int):
+        return lambda x: F.coalesce(x[f"__a{k}"], F.lit(0.0))
+
+    @staticmethod
+    def _or(k: int):
+        one = F.lit(1).cast("long")
+        return lambda m, x: F.when(x[f"__a{k}"].isNotNull(), m.bitwiseOR(F.call_function("shiftleft", one, x["__j"]))).otherwise(m)
+
     def beside(self, df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
         """Columns of another result of the same groups."""
         self.n_hash += 1
@@ -231,16 +260,15 @@ class WorldsCompiler(Emitter):
         if where is not None:
             taken = taken.filter(where.fill())
         values = taken.groupBy(*keys, "__x").agg(F.bit_or("__h").alias("__h"))
-        h, x = F.col("__h"), self.number(F.col("__x"), calls[0])
-        out = []
+        x, specs = self.number(F.col("__x"), calls[0]), []
         if any(a.func in ("sum", "avg") for a in calls):
-            out += [F.array(*worlds.world_sums(h, x)).alias(f"__ds{b}"), worlds.seen(h).alias(f"__dm{b}")]
+            specs.append((f"__ds{b}", f"__dm{b}", "sum", x))
         if any(a.func in ("count", "avg") for a in calls):
-            out += [F.array(*worlds.world_sums(h, F.lit(1.0))).alias(f"__dc{b}"), worlds.seen(h).alias(f"__dn{b}")]
+            specs.append((f"__dc{b}", f"__dn{b}", "sum", F.lit(1.0)))
         for a in calls:
             s, c = Cell(f"__ds{b}", f"__dm{b}", 2, True, a.type), Cell(f"__dc{b}", f"__dn{b}", 2, True, a.type)
             cells[id(a)] = (s, c) if a.func == "avg" else s if a.func == "sum" else c
-        return values.groupBy(*keys).agg(*out)
+        return self.world_table(values, keys, specs).drop("__updates")
 
     @staticmethod
     def number(v: Column, a: Agg) -> Column:
