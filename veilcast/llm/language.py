@@ -29,7 +29,8 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-7
 LONGEST = 16
 SEGMENT = 32  # letters; longer runs are scored in segments of so many
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
+BITS = 18
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")
 BASE = 0x9E3779B97F4A7C15
@@ -87,7 +88,9 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
 
 
 class Scorer:
-    """Log-likelihoods of letter runs for all languages, by the forward recursion over all segmentations."""
+    """Log-likelihoods of letter runs for all languages, by the forward recursion over all segmentations.
+
+    A run of more than SEGMENT letters is scored in parts of so many, all of which count."""
 
     def __init__(self, pieces: list[str], table: np.ndarray, cache_words: int = CACHE_WORDS):
         self.n_langs, self.limit = table.shape[1], cache_words
@@ -97,10 +100,10 @@ class Scorer:
         self.none = len(table)
         keys = np.array([self._hash_one(p) for p, _ in own], dtype=np.uint64)
         values = np.array([k for _, k in own], dtype=np.int64)
-        self.bits, self.levels = 17, []
-        while len(keys):  # each level takes what no other key of it claims; the rest goes on
-            slot = (mix64(keys + np.uint64(len(self.levels))) >> np.uint64(64 - self.bits)).astype(np.int64)
-            at_key, at_value = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, self.none, np.int64)
+        self.levels = []
+        while len(keys):  # each level takes what no other key of it claims; the rest goes on, by other bits of the hash
+            slot = self._slot(mix64(keys), len(self.levels))
+            at_key, at_value = np.zeros(1 << BITS, np.uint64), np.full(1 << BITS, self.none, np.int64)
             _, first = np.unique(slot, return_index=True)
             at_key[slot[first]], at_value[slot[first]] = keys[first], values[first]
             self.levels.append((at_key, at_value))
@@ -110,6 +113,10 @@ class Scorer:
         self.cache: dict[str, int] = {}
         self.scores = np.zeros((1024, self.n_langs))
 
+    @staticmethod
+    def _slot(mixed: np.ndarray, level: int) -> np.ndarray:
+        return ((mixed >> np.uint64(64 - BITS - 9 * min(level, 5))) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+
     @staticmethod
     def _hash_one(s: str) -> int:
         h = 0
@@ -119,10 +126,11 @@ class Scorer:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece numbers of hashes, or `none`."""
-        out = np.full(keys.shape, self.none, np.int64)
+        mixed, out = mix64(keys), np.full(keys.shape, self.none, np.int64)
         for k, (at_key, at_value) in enumerate(self.levels):
-            slot = (mix64(keys + np.uint64(k)) >> np.uint64(64 - self.bits)).astype(np.int64)
-            out = np.where((at_key[slot] == keys) & (at_value[slot] != self.none), at_value[slot], out)
+            slot = self._slot(mixed, k)
+            hit = at_key[slot] == keys
+            out[hit] = at_value[slot[hit]]
         return out
 
     def forward(self, words: list[str]) -> np.ndarray:
@@ -150,37 +158,30 @@ class Scorer:
                         a[i][some] += a[i - length][some] * self.rows[at[some]]
         return np.log(a[n])
 
-    def learn(self, tokens: set[str]) -> None:
-        if len(self.cache) + len(tokens) > self.limit:
+    def learn(self, runs: set[str]) -> None:
+        if len(self.cache) + len(runs) > self.limit:
             self.cache, self.scores = {}, np.zeros((1024, self.n_langs))
-        runs: dict[str, None] = {}
-        parts: dict[str, list[str]] = {}
-        for token in tokens:
-            own = []
-            for word in LETTERS.findall(token):
-                for at in range(0, len(word), SEGMENT):
-                    own.append((START if at == 0 else "") + word[at : at + SEGMENT])
-            parts[token] = own
-            runs.update(dict.fromkeys(own))
-        by_length: dict[int, list[str]] = {}
-        for r in runs:
-            by_length.setdefault(len(r), []).append(r)
-        value: dict[str, np.ndarray] = {}
-        for same in by_length.values():
-            for at in range(0, len(same), 4096):
-                value.update(zip(same[at : at + 4096], self.forward(same[at : at + 4096])))
-        first, need = len(self.cache), len(self.cache) + len(tokens)
+        first, need = len(self.cache), len(self.cache) + len(runs)
         if need > len(self.scores):
             grown = np.zeros((2 * need, self.n_langs))
             grown[:first] = self.scores[:first]
             self.scores = grown
-        for k, (token, own) in enumerate(parts.items(), first):
-            self.cache[token] = k
-            for r in own:
-                self.scores[k] += value[r]
+        by_length: dict[int, list[str]] = {}
+        for r in runs:
+            by_length.setdefault(len(r), []).append(r)
+        for n, same in by_length.items():
+            for at in range(0, len(same), 4096):
+                block = same[at : at + 4096]
+                total = self.forward([START + r[:SEGMENT] for r in block])
+                for cut in range(SEGMENT, n, SEGMENT):
+                    total = total + self.forward([r[cut : cut + SEGMENT] for r in block])
+                self.scores[first : first + len(block)] = total
+                self.cache.update(zip(block, range(first, first + len(block))))
+                first += len(block)
 
     def batch(self, texts: list[str | None]) -> np.ndarray:
-        split = [t.lower().split() if t else [] for t in texts]
+        """Log-likelihoods of whole texts, as sums over their letter runs."""
+        split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         every = set().union(*split)
         need = {w for w in every if w not in self.cache}
         if need:
@@ -190,9 +191,9 @@ class Scorer:
                 self.learn(every.difference(need))
         get = self.cache.__getitem__
         out = np.zeros((len(texts), self.n_langs))
-        for k, tokens in enumerate(split):
-            if tokens:
-                out[k] = self.scores[np.fromiter(map(get, tokens), np.int64, len(tokens))].sum(axis=0)
+        for k, runs in enumerate(split):
+            if runs:
+                out[k] = self.scores[np.fromiter(map(get, runs), np.int64, len(runs))].sum(axis=0)
         return out
 
 
@@ -224,8 +225,8 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
         for series in texts:
             preds, scores = [], []
             values = series.tolist()
-            for at in range(0, len(values), 128):
-                block = values[at : at + 128]
+            for at in range(0, len(values), 512):
+                block = values[at : at + 512]
                 logs = scorer.batch(block) if langs else np.zeros((len(block), 0))
                 for text, row in zip(block, logs):
                     if not langs or not text or not LETTERS.search(text):
