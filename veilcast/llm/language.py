@@ -29,7 +29,7 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-7
 LONGEST = 16
 SEGMENT = 32  # letters; longer runs are scored in segments of so many
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 BITS = 18
 START = "▁"
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -43,7 +43,7 @@ U = np.uint64
 class Shingler:
     """Sorted 64-bit hashes of the distinct shingles of a text; word hashes stay in a bounded cache."""
 
-    def __init__(self, words: int, limit: int = 400_000):
+    def __init__(self, words: int, limit: int = 150_000):
         self.k, self.limit, self.cache = words, limit, {}
 
     def __call__(self, raw: bytes | None) -> np.ndarray:
