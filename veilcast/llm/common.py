@@ -8,6 +8,31 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship
+
+BATCH_BYTES = 4 << 20  # of rows that a Python worker gets at a time; a longer row comes alone
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = "67108864b"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Gives workers this package and, unless the session names its own bound, bounds batches by BATCH_BYTES:
+    the buffers of a batch lie outside of the heap, once in the executor and two or three times in a worker."""
+    ship(spark)
+    if spark.conf.get(_BATCH, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
+_STATE: dict = {}
+
+
+def worker_state(key, make):
+    """What a worker keeps for later tasks of one stage. Another key's state goes first, so one is held at most."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh path below the folder named in spark.checkpoint.dir, which every executor sees.

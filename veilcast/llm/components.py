@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import drop_path, stage_table
+from .common import drop_path, prepare, stage_table
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +52,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     reaches. Each task first reduces its links to stars; then large and small stars alternate until
     nothing changes. A hub's links meet only in aggregations with map-side combining and in joins
     whose other side is unique. Null ends and self-links are left out."""
-    ship(links.sparkSession)
+    prepare(links.sparkSession)
     spark = links.sparkSession
     clean = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     state, path = stage_table(clean.mapInArrow(_local, "a long, b long").distinct())

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import mix64, require
+from .common import mix64, prepare, require, worker_state
 from .tokens import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -56,7 +55,7 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
     A random part of the rows, about `sample_docs` where there are more, is segmented by the vocabulary's
     own tokenizer; piece counts are summed map-side and then by (language, piece), so the driver gets at
     most languages x vocabulary numbers. Rows without text or language are left out."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
     n = df.filter(F.col(lang_col).isNotNull()).count()
@@ -163,7 +162,7 @@ class Scorer:
             self.cache, self.scores = {}, np.zeros((1024, self.n_langs))
         first, need = len(self.cache), len(self.cache) + len(runs)
         if need > len(self.scores):
-            grown = np.zeros((2 * need, self.n_langs))
+            grown = np.zeros((max(need, min(2 * need, self.limit)), self.n_langs))
             grown[:first] = self.scores[:first]
             self.scores = grown
         by_length: dict[int, list[str]] = {}
@@ -197,23 +196,13 @@ class Scorer:
         return out
 
 
-_SCORER: dict = {}
-
-
-def worker_scorer(key, make) -> Scorer:
-    if key not in _SCORER:
-        _SCORER.clear()
-        _SCORER[key] = make()
-    return _SCORER[key]
-
-
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", path: str | None = None) -> DataFrame:
     """df with lang_pred (string) and score (double, the posterior under equal priors).
 
     A text without letters, empty or null, is `und` with score 0, as are all texts if no language was
     learned. Texts are scored whole. Equal scores go to the language that sorts first. Existing columns of these
     names are replaced."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     langs, table = model
     shared = df.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))  # vocabulary x languages numbers
@@ -221,7 +210,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, table = shared.value
-        scorer = worker_scorer(key, lambda: Scorer(pieces_of(path), table.astype(np.float64)))
+        scorer = worker_state(key, lambda: Scorer(pieces_of(path), table.astype(np.float64)))
         for series in texts:
             preds, scores = [], []
             values = series.tolist()

@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import mix64, require, stage_table
+from .common import mix64, prepare, require, stage_table, worker_state
 from .components import components, forest
 
 BANDS, ROWS = 28, 5
@@ -112,7 +111,7 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        shingle = Shingler(words)
+        shingle = worker_state(("shingles", words), lambda: Shingler(words))
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
@@ -222,7 +221,7 @@ def confirmed(sets: list[np.ndarray], r: np.ndarray, c: np.ndarray, numerator: i
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, limit: int, numerator: int) -> Iterator[pa.RecordBatch]:
     """Rows (key, id, side, sketch, text) sorted by key -> spanning forests of the links found."""
-    shingle = Shingler(words)
+    shingle = worker_state(("shingles", words), lambda: Shingler(words))
     for table in groups_of(batches):
         key, ids, side, x, texts = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _sketches(table.column(3)), table.column(4)
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
@@ -256,7 +255,7 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that links with nothing, with a null component. An empty table gives an empty one; other
     columns are ignored."""
     require(df, id_col, text_col)
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     limit = count_limit(numerator / 100)

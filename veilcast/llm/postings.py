@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import require, stage_table
+from .common import prepare, require, stage_table
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
@@ -208,7 +207,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     a null id is returned as null; ids that repeat give a row each (their hits are joined only where a
     benchmark needs several blocks); items without id or words have no windows; items of one id count
     once. Empty tables give empty or unhit results. Other columns are ignored."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     require(df, id_col, text_col)
     require(benchmark, item_col, item_text)
     tests = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")

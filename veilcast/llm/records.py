@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import require, shared_dir
+from .common import prepare, require, shared_dir
 from .tokens import VOCABULARY, UnitEncoder, tokenizer_path, worker_encoder
 
 END_ID = 2
@@ -131,7 +130,7 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     ids that repeat are all written, ordered by their text. An empty table gives an empty index. Other
     columns are ignored."""
     require(df, id_col, text_col)
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     base, root = _filesystem(out)
     base.create_dir(f"{root}/data")

@@ -17,8 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import require
+from .common import prepare, require
 
 RUN = 3
 #: A sentence runs to the end of its closing marks or line, with the blanks after them.
@@ -64,7 +63,7 @@ def drop_repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows alike in id and text are one occurrence, so repeats of a whole row don't erase each other.
     An empty table gives an empty one; existing columns n_sentences and n_removed are replaced."""
     require(df, id_col, text_col)
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     df = df.drop("n_sentences", "n_removed")
     ids, text = F.col(id_col).cast("long"), F.col(text_col)
     keys = df.select(F.xxhash64(ids, text).alias("k1"), F.xxhash64(text, ids, F.lit(1)).alias("k2"), F.coalesce(ids, F.lit((1 << 63) - 1)).alias("id"), text.alias("text"))

@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import require, stage_table
+from .common import prepare, require, stage_table
 
 N_SHARDS = 24
 SEED = 20240601
@@ -87,7 +86,7 @@ def shuffle_into_shards(df: DataFrame, n_shards: int = N_SHARDS, seed: int = SEE
     `shard` or `slot` are replaced. The result is the same for the same files, seed and settings.
     A plan that holds an exchange may deal its rows out anew when a task runs again, so it is first
     written to the shared folder."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     spark = df.sparkSession
     df = df.drop("shard", "slot")
     if "Exchange" in df._jdf.queryExecution().executedPlan().toString():

@@ -32,8 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import mix64, require, stage_table
+from .common import mix64, prepare, require, stage_table
 
 LENGTH = 100
 CHUNK = 1 << 20
@@ -477,7 +476,7 @@ def drop_repeated_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     require(df, id_col, text_col)
     if length < 12:
         raise ValueError("windows of fewer than 12 bytes have no useful anchors")
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():

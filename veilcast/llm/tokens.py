@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import require
+from .common import prepare, require
 
 VOCABULARY = "byte_bpe_50k.json"
 FREQUENT = 20_000
@@ -185,7 +184,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have 0 tokens; texts of any length are encoded whole; repeated rows and ids
     give repeated rows; an empty table gives an empty one; other columns are ignored."""
     require(df, id_col, text_col)
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     spark = df.sparkSession
     maker = UnitEncoder(path, len)
