@@ -142,14 +142,14 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
         part, name = context.partitionId(), f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:12]}.rec"
 
         def make() -> UnitEncoder:
-            size = UnitEncoder(path, len).library.get_vocab_size()
-            kind, b = ("<u2", 2) if size <= 1 << 16 else ("<u4", 4)
+            encoder = UnitEncoder(path, len)
+            kind, b = ("<u2", 2) if encoder.library.get_vocab_size() <= 1 << 16 else ("<u4", 4)
 
             def runs(ids, starts, ends):
                 raw = ids.astype(kind).tobytes()
                 return (raw[b * x : b * y] for x, y in zip(starts, ends))
 
-            encoder = UnitEncoder(path, lambda ids: ids.astype(kind).tobytes(), wrap_runs=runs)
+            encoder.wrap, encoder.wrap_runs = lambda ids: ids.astype(kind).tobytes(), runs
             encoder.width = b
             return encoder
 
