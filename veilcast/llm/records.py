@@ -29,6 +29,7 @@ from .common import prepare, require, shared_dir
 from .tokens import VOCABULARY, UnitEncoder, tokenizer_path, worker_encoder
 
 END_ID = 2
+CACHE_UNITS = 600_000  # a cache generation of a worker; two of them hold about 150 MB of ids
 HEADER = "<qBBxxI"
 HEADER_BYTES = struct.calcsize(HEADER)
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -142,7 +143,7 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
         part, name = context.partitionId(), f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:12]}.rec"
 
         def make() -> UnitEncoder:
-            encoder = UnitEncoder(path, len)
+            encoder = UnitEncoder(path, len, cache_units=CACHE_UNITS)
             kind, b = ("<u2", 2) if encoder.library.get_vocab_size() <= 1 << 16 else ("<u4", 4)
 
             def runs(ids, starts, ends):
