@@ -29,7 +29,7 @@ from .common import prepare, require, shared_dir
 from .tokens import VOCABULARY, UnitEncoder, tokenizer_path, worker_encoder
 
 END_ID = 2
-CACHE_UNITS = 600_000  # a cache generation of a worker; two of them hold about 150 MB of ids
+CACHE_UNITS = 600_000  # a cache generation of a worker; two full ones took about 230 MB
 HEADER = "<qBBxxI"
 HEADER_BYTES = struct.calcsize(HEADER)
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
