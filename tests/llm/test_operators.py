@@ -355,6 +355,34 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [1 << 19, 0])
+def test_links_of_unbalanced_vectors(spark, monkeypatch, exact):
+    monkeypatch.setattr(vectors, "EXACT", exact, raising=False)
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1500, 64))
+    odd = rng.standard_normal((450, 64))
+    odd[:150, 32:] *= 0.05  # nearly all in one half
+    odd[150:300] *= np.array([rng.permutation(np.arange(64) < 3) for _ in range(150)])
+    odd[300:, 40] += 40  # one dominant dimension, here alike in all of these
+    x = np.concatenate([base, odd])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape) * np.where(np.abs(x) > 1e-9, 1, 0)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.955 * x + np.sqrt(1 - 0.955**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    every = np.concatenate([x, y])
+    near = every @ every.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<double>").repartition(4)
+    got = {r.id: r.n_links for r in vectors.near_vectors(df).collect()}
+    assert [got[k] for k in range(len(every))] == near.sum(axis=1).tolist()
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(2 * n + k, [float(n)] * (n - 1) + [float(k)]) for n in range(2, 90) for k in (1, 2)]
+    got = {r.id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == vector_oracle(rows)
+
+
 # 9
 
 
