@@ -1,6 +1,7 @@
 """The pipeline's stages on the smallest tables, each against a plain version on its own input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from tests.llm.test_operators import contamination_oracle, near_oracle
@@ -26,6 +27,24 @@ def test_language_keeps_clean_documents(stages):
     assert len(stages[1]) >= 0.99 * len(stages[0])
 
 
+def test_language_rejects_foreign_texts_and_junk(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    english = docs.filter("lang = 'en' AND n_chars > 500").orderBy("doc_id").first()
+    planted = {
+        "russian": "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+        "japanese": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "consonants": "xkcd qwrtp zxcvb mnbvc lkjhg fdsrt wqpzx kjhgf dsxcv bnmlk",
+        "keys": "asdf " * 40,
+    }
+    rows = [(-2 - 2 * k - j, t, lang, "s", len(t)) for k, t in enumerate(planted.values()) for j, lang in enumerate((None, "en"))]
+    rows += [(-100, english.text, None, "s", 9), (-101, english.text, "fr", "s", 9), (-102, "123 !!!", "en", "s", 9), (-103, None, "en", "s", 9)]
+    more = docs.select(*pipeline.COLUMNS).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(docs.schema[c].dataType) for c in pipeline.COLUMNS]))
+    out = pipeline.known_language(spark, more, sf_dir)
+    assert {r.doc_id: r.lang for r in out.filter("doc_id < 0").collect()} == {-100: "en", -101: "en"}
+    assert out.filter("doc_id >= 0").count() >= 0.99 * docs.count()
+
+
 def test_one_of_each_group(stages):
     rows = list(zip(stages[1]["doc_id"], stages[1]["text"]))
     want = {i for i, (_, c) in near_oracle(rows, 5, 80).items() if i == c}

@@ -28,6 +28,9 @@ SMOOTHING = 0.1
 UNKNOWN = 1e-7
 LONGEST = 16
 SEGMENT = 32  # letters; longer runs are scored in segments of so many
+LOWEST = 6.0  # deviations below the mean that a short text may have by chance
+SLACK = 0.3  # of the log-likelihood a letter, at least
+RARE = 1000
 CACHE_WORDS = 150_000
 BITS = 18
 START = "▁"
@@ -110,7 +113,7 @@ class Scorer:
             rest[first] = False
             keys, values = keys[rest], values[rest]
         self.cache: dict[str, int] = {}
-        self.scores = np.zeros((1024, self.n_langs))
+        self.scores = np.zeros((1024, self.n_langs + 1))  # the last column has the letters
 
     @staticmethod
     def _slot(mixed: np.ndarray, level: int) -> np.ndarray:
@@ -159,10 +162,10 @@ class Scorer:
 
     def learn(self, runs: set[str]) -> None:
         if len(self.cache) + len(runs) > self.limit:
-            self.cache, self.scores = {}, np.zeros((1024, self.n_langs))
+            self.cache, self.scores = {}, np.zeros((1024, self.n_langs + 1))
         first, need = len(self.cache), len(self.cache) + len(runs)
         if need > len(self.scores):
-            grown = np.zeros((max(need, min(2 * need, self.limit)), self.n_langs))
+            grown = np.zeros((max(need, min(2 * need, self.limit)), self.n_langs + 1))
             grown[:first] = self.scores[:first]
             self.scores = grown
         by_length: dict[int, list[str]] = {}
@@ -174,12 +177,13 @@ class Scorer:
                 total = self.forward([START + r[:SEGMENT] for r in block])
                 for cut in range(SEGMENT, n, SEGMENT):
                     total = total + self.forward([r[cut : cut + SEGMENT] for r in block])
-                self.scores[first : first + len(block)] = total
+                self.scores[first : first + len(block), :-1] = total
+                self.scores[first : first + len(block), -1] = n
                 self.cache.update(zip(block, range(first, first + len(block))))
                 first += len(block)
 
     def batch(self, texts: list[str | None]) -> np.ndarray:
-        """Log-likelihoods of whole texts, as sums over their letter runs."""
+        """Log-likelihoods of whole texts, as sums over their letter runs, and in the last column their letters."""
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         every = set().union(*split)
         need = {w for w in every if w not in self.cache}
@@ -189,15 +193,16 @@ class Scorer:
             if self.cache is not before:
                 self.learn(every.difference(need))
         get = self.cache.__getitem__
-        out = np.zeros((len(texts), self.n_langs))
+        out = np.zeros((len(texts), self.n_langs + 1))
         for k, runs in enumerate(split):
             if runs:
                 out[k] = self.scores[np.fromiter(map(get, runs), np.int64, len(runs))].sum(axis=0)
         return out
 
 
-def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", path: str | None = None) -> DataFrame:
-    """df with lang_pred (string) and score (double, the posterior under equal priors).
+def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text", path: str | None = None, details: bool = False) -> DataFrame:
+    """df with lang_pred (string) and score (double, the posterior under equal priors); with `details` also letters
+    (long) and per_letter (double, the log-likelihood of lang_pred by letters, null without any).
 
     A text without letters, empty or null, is `und` with score 0, as are all texts if no language was
     learned. Texts are scored whole. Equal scores go to the language that sorts first. Existing columns of these
@@ -212,23 +217,50 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
         langs, table = shared.value
         scorer = worker_state(key, lambda: Scorer(pieces_of(path), table.astype(np.float64)))
         for series in texts:
-            preds, scores = [], []
+            preds, scores, letters, fits = [], [], [], []
             values = series.tolist()
             for at in range(0, len(values), 512):
                 block = values[at : at + 512]
-                logs = scorer.batch(block) if langs else np.zeros((len(block), 0))
-                for text, row in zip(block, logs):
+                logs = scorer.batch(block) if langs else np.zeros((len(block), 1))
+                for text, row, size in zip(block, logs[:, :-1], logs[:, -1].tolist()):
+                    letters.append(int(size))
                     if not langs or not text or not LETTERS.search(text):
                         preds.append("und")
                         scores.append(0.0)
+                        fits.append(None)
                         continue
                     best = int(row.argmax())
                     preds.append(langs[best])
                     scores.append(float(1 / np.exp(row - row[best]).sum()))
-            yield pd.DataFrame({"lang_pred": preds, "score": scores})
-
-    guess = F.pandas_udf(score, "lang_pred string, score double")
-    return df.drop("lang_pred", "score").withColumn("__vc_g", guess(text_col)).select("*", "__vc_g.lang_pred", "__vc_g.score").drop("__vc_g")
+                    fits.append(float(row[best]) / size)
+            yield pd.DataFrame({"lang_pred": preds, "score": scores, "letters": letters, "per_letter": fits})
+
+    guess = F.pandas_udf(score, "lang_pred string, score double, letters long, per_letter double")
+    names = ["lang_pred", "score", "letters", "per_letter"] if details else ["lang_pred", "score"]
+    return df.drop(*names).withColumn("__vc_g", guess(text_col)).select("*", *(f"__vc_g.{c}" for c in names)).drop("__vc_g")
+
+
+def fits(known: DataFrame):
+    """A condition on rows of predict(..., details=True): whether a text is like those of its predicted language.
+
+    `known` has such rows with a label `lang`, best ones the model hasn't learned from; those it agrees with count. A text
+    of n letters fits if its log-likelihood a letter is no more than LOWEST * sqrt(b / n) + c below its language's mean; b is
+    the known texts' variance a letter, and c, SLACK or more, lets all but one in RARE of them fit. The posterior can't
+    tell: it is near 1 for any text with a few words. Languages without known texts take all languages' mean, and without
+    any known text all texts fit."""
+    rows = known.filter("lang = lang_pred AND letters > 0").select("lang", "letters", "per_letter").toPandas()
+    if not len(rows):
+        return F.lit(True)
+    n, x = rows["letters"].to_numpy(np.float64), rows["per_letter"].to_numpy(np.float64)
+    means = {lang: float(np.average(x[at], weights=n[at])) for lang, at in rows.groupby("lang").indices.items()}
+    off = x - rows["lang"].map(means).to_numpy(np.float64)
+    # b from the typical deviations of texts of like lengths, which a few odd texts don't move
+    parts = np.array_split(np.argsort(n), max(1, min(20, len(n) // 20)))
+    b = float(np.median([(1.4826 * np.median(np.abs(off[part]))) ** 2 / np.mean(1 / n[part]) for part in parts]))
+    c = max(SLACK, -float(np.quantile(off + LOWEST * np.sqrt(b / n), 1 / RARE)))
+    every = F.lit(float(np.average(x, weights=n)))
+    mean = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in means.items() for v in pair]), F.col("lang_pred")), every)
+    return F.coalesce(F.col("per_letter") >= mean - LOWEST * F.sqrt(F.lit(b) / F.col("letters")) - c, F.lit(False))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
