@@ -32,11 +32,14 @@ class Statement:
     if_not_exists: bool = False
 
 
+#: Quoted text, which stays as it is; hints, which are no comments; comments; blanks.
+_TOKEN = re.compile(r"""(?P<kept>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`|/\*\+.*?\*/)|(?:/\*(?!\+).*?\*/|--[^\n]*|\s)+""", re.S)
+
+
 def clean(sql: str) -> str:
-    """Without comments, closing semicolon and runs of blanks."""
-    sql = re.sub(r"/\*.*?\*/", " ", sql, flags=re.S)
-    sql = re.sub(r"--[^\n]*", " ", sql)
-    return re.sub(r"\s+", " ", sql).strip().rstrip(";").strip()
+    """Without comments, closing semicolon and runs of blanks, except inside quotes."""
+    sql = _TOKEN.sub(lambda m: m["kept"] or " ", sql).strip()
+    return re.sub(r"[;\s]+$", "", sql)
 
 
 def _list(text: str) -> list[str]:

@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ddl
-from .catalog import PrivacyCatalog, PrivacyError, TableMeta, plain
+from .catalog import Link, PrivacyCatalog, PrivacyError, TableMeta, plain
 from .config import PrivacyConfig
 from .functions import sqltext
 from .operators import derived, diff
+from .operators.clip import ClipCompiler
 from .operators.elastic import ElasticCompiler
 from .operators.worlds_compiler import WorldsCompiler
 from .plans.check import Lineage, check, private_scans
-from .plans.ir import Node, Reader
+from .plans.ir import Node, Reader, fingerprint
 from .session import ship
 
 _CTAS = re.compile(r"^CREATE\s+(?:OR\s+REPLACE\s+)?TABLE\s+([\w.`]+)\s+(?:USING\s+\w+\s+)?AS\s+(.*)$", re.I | re.S)
@@ -113,13 +118,15 @@ class PrivacySession:
     # queries
 
     def read(self, text: str) -> Node:
-        return Reader(self.spark).read(self.spark.sql(text))
+        return Reader(self.spark).read(self.spark.sql(ddl.clean(text)))
 
     def query(self, text: str, keep_counters: bool = False) -> DataFrame:
-        own = sqltext.calls(text)
-        exact = self.spark.sql(sqltext.expand(text, self.config) if own else text)
-        root = Reader(self.spark).read(exact)
         cfg = self.config
+        if sqltext.aggregates(text):
+            return self.own_counters(text)
+        with self.shadowed(text):
+            exact = sqltext.analysed(self.spark, text, cfg)[0] if sqltext.calls(text) else self.spark.sql(text)
+        root = Reader(self.spark).read(exact)
         if not cfg.pac_rewrite:
             return exact
         if derived.reads_counters(root, self.catalog):
@@ -132,9 +139,7 @@ class PrivacySession:
             if cfg.pac_check:
                 raise
             return exact
-        if not verdict.rewrite or any(c in sqltext.AGGREGATES for c in own):
-            return exact  # a query that calls the counters itself is released as written
-        if any(n.kind == "window" for n in root.walk()):
+        if not verdict.rewrite:
             return exact
         if cfg.privacy_mode == "pac" and cfg.privacy_noise is False and not keep_counters:
             return exact
@@ -143,11 +148,53 @@ class PrivacySession:
             return diff.utility_diff(private, exact, root, cfg)
         return private
 
+    @contextmanager
+    def shadowed(self, text: str) -> Iterator[None]:
+        """While a text is analysed, counter columns of derived tables look like the numbers they are read as."""
+        names = [m.name for m in self.catalog.tables.values() if self.config.pac_rewrite and m.derived and m.counter_columns and re.search(rf"\b{re.escape(m.name)}\b", text, re.I)]
+        names = [n for n in names if self.spark.catalog.tableExists(n)]
+        for name in names:
+            counters, df = {c.lower() for c in self.catalog.get(name).counter_columns}, self.spark.table(name)
+            df.select(*[F.get(f"`{c}`", F.lit(0)).cast("double").alias(c) if c.lower() in counters else F.col(f"`{c}`") for c in df.columns]).createOrReplaceTempView(name)
+        try:
+            yield
+        finally:
+            for name in names:
+                self.spark.catalog.dropTempView(name)
+
+    def own_counters(self, text: str) -> DataFrame:
+        """A query that calls the counters itself is released as written, if no private row gets out beside them."""
+        cfg = self.config
+        shape, lists = None, ()
+        for lists in sqltext.readings(text):
+            try:
+                shape = Reader(self.spark).read(self.spark.sql(sqltext.outline(text, cfg, lists)))
+                salted = cfg.for_query(fingerprint(shape))
+                exact = sqltext.analysed(self.spark, text, salted, [lists])[0]
+                break
+            except AnalysisException:
+                shape = None
+        if shape is None:
+            exact, _ = sqltext.analysed(self.spark, text, cfg)  # raises what the analyser has to say
+            shape = Reader(self.spark).read(exact)
+        if cfg.pac_rewrite and cfg.pac_check:
+            check(shape, self.catalog, cfg.pac_conservative_mode, own=True)
+        if any(c in sqltext.CLIPPED for c in sqltext.calls(text)):
+            root = Reader(self.spark).read(exact)
+            out = ClipCompiler(self.spark, self.catalog, salted).emit(root, set()).df
+            return out.select([u for u, _, _ in root.output]).toDF(*exact.columns)
+        return exact
+
+    def compiled_config(self, text: str) -> PrivacyConfig:
+        """The settings that a query is compiled with."""
+        return self.config.for_query(fingerprint(self.read(text)))
+
     def compiled(self, root: Node, exact: DataFrame, keep_counters: bool = False) -> DataFrame:
-        if self.config.privacy_mode == "dp_elastic":
-            out = ElasticCompiler(self.spark, self.catalog, self.config).compile_root(root)
+        cfg = self.config.for_query(fingerprint(root))
+        if cfg.privacy_mode == "dp_elastic":
+            out = ElasticCompiler(self.spark, self.catalog, cfg).compile_root(root)
         else:
-            out = WorldsCompiler(self.spark, self.catalog, self.config, keep_counters).compile_tree(root)
+            out = WorldsCompiler(self.spark, self.catalog, cfg, keep_counters).compile_tree(root)
         return out.select([u for u, _, _ in root.output]).toDF(*exact.columns)
 
     def explain(self, text: str, mode: str = "extended") -> str:
@@ -161,9 +208,9 @@ class PrivacySession:
         private = bool(private_scans(root, self.catalog)) and self.config.pac_rewrite
         aggregated = any(n.kind == "aggregate" for n in root.walk())
         if private and not aggregated:
+            meta = self._copied(table, root)
             exact.write.saveAsTable(table)
-            meta = self.catalog.ensure(table)
-            self._inherit(meta, root)
+            self.catalog.tables[meta.name] = meta
         elif private:
             out = self.query(text, keep_counters=True)
             out.write.saveAsTable(table)
@@ -177,11 +224,30 @@ class PrivacySession:
         self._save()
         return self.spark.table(table)
 
+    def _copied(self, table: str, root: Node) -> TableMeta:
+        """What is declared of a table of private rows: renamed links and protected columns; a unit's rows link to their
+        unit by its key. Rows with protected columns that can't be tied to their unit are refused."""
+        lineage, meta = Lineage(root, self.catalog), TableMeta(plain(table))
+        named = {next(iter(o)): name for u, name, _ in root.output if len(o := lineage.origin.get(u, set())) == 1}
+        for scan in {plain(n.table) for n in private_scans(root, self.catalog)}:
+            own = self.catalog.get(scan)
+            ways = [(x.local, x.table, x.remote) for x in own.links] if own else []
+            if self.catalog.is_pu(scan):
+                ways.append((tuple(self.catalog.keys_of(scan)), scan, tuple(self.catalog.keys_of(scan))))
+            for local, to, remote in ways:
+                names = tuple(named.get((scan, c.lower()), "") for c in local)
+                if all(names):
+                    meta.links.append(Link(names, to, remote))
+        self._inherit(meta, root)
+        if meta.protected and not any(self.catalog.units_of(x.table) for x in meta.links):
+            raise PrivacyError(f"Table '{meta.name}' would hold protected columns without the key or link of their privacy unit")
+        return meta
+
     def _inherit(self, meta: TableMeta, root: Node) -> None:
         """Protected columns that pass through a query stay protected, under their new names."""
         lineage = Lineage(root, self.catalog)
         for u, name, _ in root.output:
-            for source, column in lineage.origin.get(u, set()):
+            for source, column in sorted(lineage.origin.get(u, set())):
                 if column in self.catalog.protected_of(source) and name not in meta.protected:
                     meta.protected.append(name)
 

@@ -11,11 +11,6 @@ from pyspark.sql import functions as F
 
 from ..config import PrivacyConfig, signed
 
-# Fixed values of the repair: multiplier, and the pattern used if it finds nothing.
-PRIME = 0xB2833106536E95DF
-FALLBACK = 0xAAAAAAAAAAAAAAAA
-
-
 def key_hash(key: Column, algorithm: str = "xxhash64") -> Column:
     """A signed 64-bit hash; null for a null key. `md5` takes the digest's first 16 hex digits, which any engine has."""
     if algorithm == "md5":
@@ -23,26 +18,26 @@ def key_hash(key: Column, algorithm: str = "xxhash64") -> Column:
     return F.when(key.isNotNull(), F.xxhash64(key))
 
 
-def repair(values: np.ndarray) -> np.ndarray:
-    """Hashes with exactly 32 bits set, from any hashes."""
-    num = values.astype(np.uint64).copy()
-    out = np.full(len(num), FALLBACK, np.uint64)
-    open_ = np.ones(len(num), bool)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A second hash, by multiplication and shifts."""
     with np.errstate(over="ignore"):
-        for _ in range(16):
-            nxt = np.uint64(PRIME) * (num ^ np.uint64(PRIME))
-            x = np.where(np.bitwise_count(num) > 32, ~num, num)
-            near = open_ & (np.bitwise_count(x) >= 26)
-            for k in range(10):
-                lacks = near & (np.bitwise_count(x) < 32)
-                bit = np.uint64(1) << ((nxt >> np.uint64(6 * k)) & np.uint64(63))
-                x = np.where(lacks, x | bit, x)
-            done = near & (np.bitwise_count(x) == 32)
-            out[done] = x[done]
-            open_ &= ~done
-            if not open_.any():
-                break
-            num = np.where(open_, nxt, num)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def repair(values: np.ndarray) -> np.ndarray:
+    """Hashes with exactly 32 bits set: as many set (or unset) bits as are too many (or few) are flipped, those that a second
+    hash of value and place puts first."""
+    out, places = np.empty(len(values), np.uint64), np.arange(64, dtype=np.uint64)
+    for at in range(0, len(values), 1 << 14):
+        x = values[at : at + (1 << 14)].astype(np.uint64)
+        bits = (x[:, None] >> places) & np.uint64(1) == 1
+        surplus = bits.sum(axis=1) - 32
+        wrong = bits == (surplus > 0)[:, None]
+        first = np.where(wrong, _mixed(x[:, None] ^ _mixed(places + np.uint64(1))), np.uint64((1 << 64) - 1))
+        rank = first.argsort(axis=1, kind="stable").argsort(axis=1)
+        bits ^= wrong & (rank < np.abs(surplus)[:, None])
+        out[at : at + len(x)] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 

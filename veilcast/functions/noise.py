@@ -7,13 +7,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import PrivacyConfig, signed
 
 TWO53 = float(1 << 53)
+FEWEST_UPDATES = 500
+NO_DIVERSITY = "detected absence of sample diversity"
 
 
 def uniform(config: PrivacyConfig, tag: str, keys: list[Column]) -> Column:
@@ -104,49 +108,84 @@ def dp_laplace_noise(value: Column, scale: float, config: PrivacyConfig, tag: st
     return v - F.lit(float(scale)) * F.signum(u) * F.log1p(-2 * F.abs(u))
 
 
-def release_tracked(df: DataFrame, cells: list[tuple[str, str, str, float, float, bool]], order: list[str], config: PrivacyConfig) -> DataFrame:
+class Posterior:
+    """What an observer of all answers so far can think of the secret world; each answer sharpens it."""
+
+    def __init__(self, config: PrivacyConfig, mi: float, stream: int):
+        self.p, self.mi, self.tau, self.secret = np.full(64, 1 / 64), mi, config.privacy_min_group_count, config.secret_world
+        self.rng = np.random.Generator(np.random.Philox(key=[config.query_hash & ((1 << 63) - 1), 0xCE11 + (stream << 20)]))
+
+    def answer(self, vals: np.ndarray, present: int, correction: float, scale: float) -> float | None:
+        """One answer from the values of the worlds, with noise for the observer's uncertainty about them."""
+        withheld = 64 - present > int(self.rng.random() * max(1, math.floor(64 * correction)))
+        p, own = self.p, float(vals[self.secret])
+        off = vals - p @ vals
+        var = float(p @ (off * off)) / (2 * self.mi)
+        draw, keep = self.rng.standard_normal(), self.rng.random()
+        if withheld:
+            return None
+        if not (var > 0 and math.isfinite(var)):
+            return own * scale
+        raw = own + math.sqrt(var) * draw
+        like = (vals - raw) ** 2 * (-0.5 / var)
+        p = p * np.exp(like - like[p > 1e-290].max()) + 1e-300
+        self.p = p / p.sum()
+        tau = self.tau
+        if tau is not None and keep >= 1 / (1 + math.exp(max(-30.0, min(30.0, -3 * (abs(raw) / math.sqrt(var) - tau))))):
+            return None
+        return raw * scale
+
+
+def _worlds(column: pa.ListArray, masks: np.ndarray, factor: float) -> np.ndarray:
+    """Rows of 64 counters, zero where the mask has no bit."""
+    if column.null_count:
+        column = pa.array([[0.0] * 64 if x is None else x for x in column.to_pylist()], pa.list_(pa.float64()))
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(masks), 64)
+    on = (masks.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1
+    return np.where(on, np.nan_to_num(flat, nan=0.0, posinf=np.inf, neginf=-np.inf) * factor, 0.0)
+
+
+def release_tracked(df: DataFrame, cells: list[tuple[str, str, str, float, float, bool]], order: list[str], config: PrivacyConfig, watch: tuple[str, str, str] | None = None) -> DataFrame:
     """Releases the counter columns of a grouped result with a posterior over worlds that each answer sharpens.
 
     cells: (output, counters, mask, correction, scale, scale_values). The posterior runs through all cells in the
-    order of the group keys, so the grouped result, one row a group, passes through one task; its rows stream in batches."""
-    kept = [c for c in df.columns if c not in {x for cell in cells for x in cell[1:3]}]
+    order of the group keys. The groups are aggregated in parallel and then exchanged to one task, a row a group, which streams them in
+    batches. With pac_ptracking_partitions above 1 they are dealt over so many tasks by their keys, each with a posterior
+    of its own and that part of the bound. `watch` names updates, mask and counters for the diversity check, which fails the
+    task at its end, before any of its rows count."""
+    inputs = list(dict.fromkeys(x for cell in cells for x in cell[1:3])) + [x for x in (watch or ()) if x not in {y for cell in cells for y in cell[1:3]}]
+    kept = [c for c in df.columns if c not in inputs]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept] + [f"`{c[0]}` double" for c in cells])
-    mi, tau, secret, seed = config.pac_mi, config.privacy_min_group_count, config.secret_world, config.query_hash & ((1 << 63) - 1)
+    tasks = max(1, int(config.pac_ptracking_partitions)) if order else 1
+    mi = config.pac_mi / tasks
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng = np.random.Generator(np.random.Philox(key=[seed, 0xCE11]))
-        log_p = np.full(64, -math.log(64))
-        bits = np.arange(64, dtype=np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        state = Posterior(config, mi, context.partitionId() if context else 0)
+        updates = odd = sound = 0
         for batch in batches:
-            out = {c: batch[c] for c in kept}
-            values = {c[0]: [] for c in cells}
-            for k in range(len(batch)):
-                for name, counters, mask, correction, scale, scaled in cells:
-                    m = np.uint64(int(batch[mask].iloc[k]) & ((1 << 64) - 1))
-                    on = (m >> bits) & np.uint64(1) == 1
-                    vals = np.where(on, np.asarray(batch[counters].iloc[k], float) * (correction if scaled else 1.0), 0.0)
-                    withheld = 64 - int(on.sum()) > int(rng.random() * max(1, math.floor(64 * correction)))
-                    p = np.exp(log_p)
-                    var = float((p * (vals - (p * vals).sum()) ** 2).sum()) / (2 * mi)
-                    own = float(vals[secret])
-                    draw, keep = rng.standard_normal(), rng.random()
-                    if withheld:
-                        values[name].append(None)
-                        continue
-                    if not (var > 0 and math.isfinite(var)):
-                        values[name].append(own * scale)
-                        continue
-                    raw = own + math.sqrt(var) * draw
-                    log_p = log_p - 0.5 * (vals - raw) ** 2 / var
-                    top = log_p.max()
-                    p = np.exp(log_p - top) + 1e-300
-                    log_p = np.log(p / p.sum())
-                    z = abs(raw) / math.sqrt(var)
-                    faint_ = tau is not None and keep >= 1 / (1 + math.exp(max(-30.0, min(30.0, -3 * (z - tau)))))
-                    values[name].append(None if faint_ else raw * scale)
-            yield pd.DataFrame({**out, **{k: pd.Series(v, dtype="float64") for k, v in values.items()}})
-
-    return df.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, schema) if order else df.coalesce(1).mapInPandas(run, schema)
+            col = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
+            made = []
+            for _, counters, mask, correction, scale, scaled in cells:
+                masks = col[mask].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                made.append((_worlds(col[counters], masks, correction if scaled else 1.0), np.bitwise_count(masks.view(np.uint64)).tolist(), correction, scale))
+            answers: list[list] = [[] for _ in cells]
+            for k in range(batch.num_rows):
+                for out, (vals, present, correction, scale) in zip(answers, made):
+                    out.append(state.answer(vals[k], present[k], correction, scale))
+            if watch:
+                masks = col[watch[1]].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                vals, on = _worlds(col[watch[2]], masks, 1.0), (masks.view(np.uint64)[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1) == 1
+                off, alike = 64 - on.sum(axis=1), np.where(on, vals, -np.inf).max(axis=1) == np.where(on, vals, np.inf).min(axis=1)
+                single = int(((off >= 29) & (off <= 35) & alike).sum())
+                updates, odd, sound = updates + (pa.compute.sum(col[watch[0]]).as_py() or 0), odd + single, sound + batch.num_rows - single
+            yield pa.record_batch([*[col[c] for c in kept], *[pa.array(x, pa.float64()) for x in answers]], names=[*kept, *[c[0] for c in cells]])
+        if updates >= FEWEST_UPDATES and odd > 2 * sound:
+            raise RuntimeError(NO_DIVERSITY)
+
+    dealt = df.repartition(tasks, *order) if tasks > 1 else df.repartition(1)
+    chosen = dealt.sortWithinPartitions(*order) if order else dealt
+    return chosen.select(*kept, *inputs).mapInArrow(run, schema)
 
 
 def diversity(updates: Column, mask: Column, counters: Column) -> tuple[Column, Column]:

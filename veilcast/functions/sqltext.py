@@ -6,15 +6,25 @@ the Column functions of this package make. Arguments are repeated, so they shoul
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..catalog import PrivacyError
 from ..config import PrivacyConfig
+from .hashing import _repair_series
 
 _CMP = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "=", "neq": "<>"}
 AGGREGATES = ("pac_count", "pac_sum", "pac_min", "pac_max", "pac_avg", "pac_noised_count", "pac_noised_sum", "pac_noised_min", "pac_noised_max", "pac_noised_avg", "pac_clip_count", "pac_noised_clip_count")
+#: Aggregates that need each unit's own sum or extreme first; operators/clip.py computes them for whole group-bys.
+CLIPPED = {"pac_clip_sum": "sum", "pac_clip_min": "min", "pac_clip_max": "max", "pac_noised_clip_sum": "sum", "pac_noised_clip_sumcount": "sum", "pac_noised_clip_min": "min", "pac_noised_clip_max": "max"}
+LISTS = ("pac_count", "pac_sum", "pac_min", "pac_max", "pac_avg", "pac_clip_count", "pac_clip_sum", "pac_clip_min", "pac_clip_max", "pac_div", "pac_coalesce")
+REPAIR = "veilcast_repair"
 _ONE = "CAST(1 AS BIGINT)"
 
 
@@ -23,8 +33,10 @@ def _bit(h: str, j) -> str:
 
 
 class Expander:
-    def __init__(self, config: PrivacyConfig):
-        self.config, self.n = config, 0
+    """`lists` says, for each count of one argument in the order of expansion, whether it counts lists."""
+
+    def __init__(self, config: PrivacyConfig, lists: tuple[bool, ...] = ()):
+        self.config, self.n, self.lists, self.counts = config, 0, lists, 0
 
     # noise
 
@@ -44,6 +56,11 @@ class Expander:
             var = f"(aggregate({vals}, 0D, (s, x) -> s + (x - {total} / 64) * (x - {total} / 64)) / {63 * 2 * cfg.pac_mi!r}D)"
             draw = f"sqrt(-2 * ln({self._uniform(tag + 'r', 'to_json(' + counters + ')')})) * cos({2 * math.pi!r}D * {self._uniform(tag + 'a', 'to_json(' + counters + ')')})"
             out = f"((get({vals}, {cfg.secret_world}) + if({var} > 0, sqrt({var}) * {draw}, 0D)) * {scale}D)"
+            tau = cfg.privacy_min_group_count
+            if tau is not None and not math.isnan(tau) and nulling:  # withheld as drowned in its noise
+                z = f"abs({out}) / sqrt({var} * {scale * scale}D)"
+                keep = f"1 / (1 + exp(greatest(-30D, least(30D, -3 * ({z} - {float(tau)!r}D)))))"
+                out = f"if({var} > 0 AND {self._uniform(tag + 'k', 'to_json(' + counters + ')')} >= {keep}, NULL, {out})"
             absent = f"(64 - bit_count({mask})) > floor({self._uniform(tag + 'n', 'to_json(' + counters + ')')} * greatest(1, floor(64 * double({correction}))))"
         return f"if({absent}, NULL, {out})" if nulling else out
 
@@ -58,7 +75,14 @@ class Expander:
     def _aggregate(self, name: str, args: list[str]) -> str:
         noised = name.startswith("pac_noised_")
         func = name.rsplit("_", 1)[1]
-        if len(args) == 1 and func != "count" or not args:
+        counted = False
+        if len(args) == 1 and func == "count" and not noised:
+            counted = self.counts < len(self.lists) and self.lists[self.counts]
+            self.counts += 1
+        if len(args) == 1 and (func != "count" or counted) or not args:
+            if counted:  # elements that are there, in each world
+                each = [f"count(get({args[0]}, {j}))" for j in range(64)]
+                return f"if(count({args[0]}) > 0, array({', '.join(f'if({x} > 0, double({x}), NULL)' for x in each)}), NULL)"
             if len(args) == 1:  # a list of counters
                 pick = {"sum": "sum", "min": "min", "max": "max"}.get(func)
                 if pick and not noised:
@@ -89,7 +113,8 @@ class Expander:
     def scalar(self, name: str, a: list[str]) -> str:
         cfg = self.config
         if name == "pac_hash":
-            return f"({a[0]} ^ CAST({cfg.query_hash_signed} AS BIGINT))"
+            mixed = f"({a[0]} ^ CAST({cfg.query_hash_signed} AS BIGINT))"
+            return f"{REPAIR}({mixed})" if cfg.pac_hash_repair else mixed
         if name == "pac_select":
             return f"({a[0]} & {self._pack(a[1])})"
         if (m := re.fullmatch(r"pac_select_(\w+)", name)) and m[1] in _CMP:
@@ -118,36 +143,102 @@ class Expander:
             return f"if({a[1]} > 0, double({a[0]}) - double({a[1]}) * signum({u}) * log1p(-2 * abs({u})), double({a[0]}))"
         raise PrivacyError(f"unknown function {name}")
 
+    def clipped(self, name: str, args: list[str]) -> str:
+        """A stand-in that keeps the arguments of a clipped aggregate in the plan, with a field of its type."""
+        if len(args) not in (2, 3):
+            raise PrivacyError(f"{name} needs a hash, a value and perhaps a correction")
+        kind = "ARRAY<DOUBLE>" if name in LISTS else "BIGINT" if name.endswith("sumcount") else "DOUBLE"
+        return f"any_value(named_struct('f', '{name}', 'h', {args[0]}, 'v', double({args[1]}), 'c', double({args[2] if len(args) > 2 else 1}), 'r', CAST(NULL AS {kind}))).r"
+
     def call(self, name: str, args: list[str]) -> str:
+        if name in CLIPPED and len(args) > 1:
+            return self.clipped(name, args)
+        if name in CLIPPED:  # of a list: as without clipping
+            name = name.replace("_clip", "")
         return self._aggregate(name.replace("_clip_count", "_count"), args) if name in AGGREGATES else self.scalar(name, args)
 
 
 _NAME = re.compile(r"\b(pac_\w+|dp_laplace_noise)\s*\(", re.I)
+_QUOTED = re.compile(r"'(?:[^'\\]|\\.)*'|\"[^\"]*\"|`[^`]*`")
+
+
+def _calls(text: str) -> list[re.Match]:
+    """Calls outside of quotes."""
+    hidden = _QUOTED.sub(lambda m: "'" * len(m[0]), text)
+    return list(_NAME.finditer(hidden))
 
 
 def calls(text: str) -> list[str]:
-    return [m[1].lower() for m in _NAME.finditer(text)]
+    return [m[1].lower() for m in _calls(text)]
+
+
+def aggregates(text: str) -> bool:
+    """Whether a text calls the library's aggregates."""
+    return any(c in AGGREGATES or c in CLIPPED for c in calls(text))
+
+
+def _arguments(text: str, at: int) -> tuple[list[str], int]:
+    """The arguments of a call whose parenthesis opens before `at`, and where it ends."""
+    hidden = _QUOTED.sub(lambda m: "'" * len(m[0]), text)
+    depth, start, args = 1, at, []
+    while depth:
+        if at >= len(text):
+            raise PrivacyError("a call's parenthesis is not closed")
+        c = hidden[at]
+        depth += (c == "(") - (c == ")")
+        if depth == 1 and c == "," or depth == 0:
+            args.append(text[start:at].strip())
+            start = at + 1
+        at += 1
+    return [a for a in args if a], at
 
 
-def expand(text: str, config: PrivacyConfig) -> str:
+def expand(text: str, config: PrivacyConfig, lists: tuple[bool, ...] = ()) -> str:
     """The text with all calls of the library's functions, innermost first, as built-in expressions."""
-    expander: Expander = Expander(config)
+    expander: Expander = Expander(config, lists)
     build: Callable[[str, list[str]], str] = expander.call
-    while True:
-        found = list(_NAME.finditer(text))
-        if not found:
-            return text
+    while found := _calls(text):
         m = found[-1]  # the last call has no call of the library behind it, so none inside
-        depth, at, start, args = 1, m.end(), m.end(), []
-        quoted = False
-        while depth:
-            c = text[at]
-            if c == "'":
-                quoted = not quoted
-            elif not quoted:
-                depth += (c == "(") - (c == ")")
-                if depth == 1 and c == "," or depth == 0:
-                    args.append(text[start:at].strip())
-                    start = at + 1
-            at += 1
-        text = text[: m.start()] + build(m[1].lower(), [a for a in args if a]) + text[at:]
+        args, end = _arguments(text, m.end())
+        text = text[: m.start()] + build(text[m.start() : m.end()].split("(")[0].strip().lower(), args) + text[end:]
+    return text
+
+
+def outline(text: str, config: PrivacyConfig, lists: tuple[bool, ...] = ()) -> str:
+    """The text with each outermost call that holds a counter aggregate replaced by a stand-in of its type, which is
+    always null and refers to what the aggregates hash: for the policy check."""
+    done = 0
+    while found := [m for m in _calls(text) if m.start() >= done]:
+        m = found[0]
+        args, end = _arguments(text, m.end())
+        inner, name = text[m.start() : end], m[1].lower()
+        own = [x for x in _calls(inner) if x[1].lower() in AGGREGATES or x[1].lower() in CLIPPED]
+        if not own:
+            done = m.end()
+            continue
+        hashes = [a[0] for x in own if (a := _arguments(inner, x.end())[0]) and not aggregates(a[0])]
+        kind = "ARRAY<DOUBLE>" if name in LISTS else "DOUBLE"
+        test = " OR ".join(f"({expand(h, config, lists)}) IS NULL" for h in hashes)
+        stand = f"any_value(IF({test}, CAST(NULL AS {kind}), CAST(NULL AS {kind})))"
+        text = text[: m.start()] + stand + text[end:]
+        done = m.start() + len(stand)
+    return expand(text, config, lists)
+
+
+def readings(text: str) -> list[tuple[bool, ...]]:
+    """The ways to take counts of one argument: each of a hash, or of lists."""
+    single = sum(c in ("pac_count", "pac_clip_count") for c in calls(text))
+    return list(itertools.product((False, True), repeat=min(single, 6)))
+
+
+def analysed(spark: SparkSession, text: str, config: PrivacyConfig, among: list[tuple[bool, ...]] | None = None) -> tuple[DataFrame, tuple[bool, ...]]:
+    """The expanded query, in the first reading that the analyser accepts."""
+    if config.pac_hash_repair:
+        spark.udf.register(REPAIR, F.pandas_udf(_repair_series, "long"))
+    failed = None
+    for lists in among or readings(text):
+        try:
+            return spark.sql(expand(text, config, lists)), lists
+        except AnalysisException as e:
+            failed = failed or e
+    raise failed

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import PrivacyCatalog, PrivacyError, plain
@@ -20,6 +20,19 @@ class Emitted:
     df: DataFrame
     #: privacy unit -> (hash column, hops to the unit, key columns that decide the hash)
     hashes: dict[str, tuple[str, int, tuple[str, ...]]] = field(default_factory=dict)
+    #: columns that hold a list of 64 counters in place of a value
+    counters: frozenset[str] = frozenset()
+
+
+def only_one(c: Column) -> Column:
+    """The value of a scalar subquery: null without rows, and an error for several."""
+    return F.when(F.count("*") > 1, F.raise_error(F.lit("a scalar subquery returned more than one row"))).otherwise(F.first(c))
+
+
+def member(name: str) -> Column:
+    """x IN (subquery) as SQL has it: unknown where nothing matches and x, or a value of a subquery with rows, is null."""
+    unknown = F.coalesce(name + "s", F.lit(False)) & (F.col(name + "n").isNull() | F.coalesce(name + "u", F.lit(False)))
+    return F.when(F.col(name), F.lit(True)).when(unknown, F.lit(None).cast("boolean")).otherwise(F.lit(False))
 
 
 class Emitter:
@@ -75,6 +88,10 @@ class Emitter:
         """The counter lists of a private scalar aggregate by correlated columns, where a compiler can make them."""
         return None
 
+    def counter_side(self, n: Node) -> Emitted | None:
+        """A private aggregate beside private rows with its counters as columns, where a compiler can make them."""
+        return None
+
     # subqueries
 
     def with_subqueries(self, e: Emitted, x: Expr, private: bool) -> tuple[Emitted, Expr]:
@@ -90,19 +107,21 @@ class Emitter:
             inner = self.plain_or_compiled(s.plan)
             u = inner.columns[0]
             if s.kind == "scalar":
-                one = inner.select(F.first(F.col(f"`{u}`")).alias(name))  # a scalar subquery has one row at most
-                e = Emitted(e.df.crossJoin(F.broadcast(one)), e.hashes)
+                one = inner.agg(only_one(F.col(f"`{u}`")).alias(name))
+                e = replace(e, df=e.df.crossJoin(F.broadcast(one)))  # one row
                 subs.append(f"`{name}`")
             elif s.kind == "exists":
-                one = inner.agg((F.count("*") > 0).alias(name))
-                e = Emitted(e.df.crossJoin(F.broadcast(one)), e.hashes)
+                one = inner.limit(1).agg((F.count("*") > 0).alias(name))
+                e = replace(e, df=e.df.crossJoin(F.broadcast(one)))  # one row
                 subs.append(f"`{name}`")
             else:
-                keys = inner.select(F.col(f"`{u}`").alias(name + "k")).distinct().withColumn(name, F.lit(True))
-                needle = s.needle.fill()
-                joined = e.df.withColumn(name + "n", F.expr(needle)).join(keys, F.col(name + "n") == F.col(name + "k"), "left").drop(name + "k", name + "n")
-                e = Emitted(joined, e.hashes)
-                subs.append(f"coalesce(`{name}`, false)")
+                values = inner.select(F.col(f"`{u}`").alias(name + "k"))
+                keys = values.filter(F.col(name + "k").isNotNull()).distinct().withColumn(name, F.lit(True))
+                about = values.agg((F.count("*") > 0).alias(name + "s"), F.coalesce(F.bool_or(F.col(name + "k").isNull()), F.lit(False)).alias(name + "u"))
+                needed = e.df.withColumn(name + "n", F.expr(s.needle.fill()))
+                joined = needed.join(keys, F.col(name + "n") == F.col(name + "k"), "left").crossJoin(F.broadcast(about))  # one row
+                e = replace(e, df=joined.withColumn(name, member(name)).drop(*[name + c for c in "knsu"]))
+                subs.append(f"`{name}`")
         return e, Expr(x.fill(x_aggs(x), subs), x.refs, x.type, x.attr)
 
     def correlated(self, e: Emitted, s: Sub, name: str) -> Emitted:
@@ -113,18 +132,24 @@ class Emitter:
         cond = F.lit(True)
         for k, (_, outer) in enumerate(pairs):
             cond = cond & (F.col(f"`{outer}`") == F.col(f"{name}k{k}"))
+        value, names = F.col(f"`{plan.output[0][0]}`"), [f"{name}k{k}" for k in range(len(keys))]
         if s.kind == "scalar":
-            right = inner.select(*keys, F.col(f"`{plan.output[0][0]}`").alias(name))
-        else:
-            if s.kind == "in":
-                cond = cond & (F.expr(s.needle.fill()) == F.col(name + "v"))
-                keys.append(F.col(f"`{plan.output[0][0]}`").alias(name + "v"))
+            right = inner.select(*keys, value.alias(name))
+            below = plan
+            while below.kind == "project":
+                below = below.children[0]
+            if below.kind != "aggregate":  # grouped by its correlated columns, it has one row for each of their values
+                right = right.groupBy(*names).agg(only_one(F.col(name)).alias(name))
+            return replace(e, df=e.df.join(right, cond, "left").drop(*names))
+        if s.kind == "exists":
             right = inner.select(*keys).distinct().withColumn(name, F.lit(True))
-        drop = [c for c in right.columns if c != name]
-        df = e.df.join(right, cond, "left").drop(*drop)
-        if s.kind != "scalar":
-            df = df.withColumn(name, F.coalesce(name, F.lit(False)))
-        return Emitted(df, e.hashes)
+            return replace(e, df=e.df.join(right, cond, "left").drop(*names).withColumn(name, F.coalesce(name, F.lit(False))))
+        values = inner.select(*keys, value.alias(name + "k"))
+        about = values.groupBy(*names).agg(F.lit(True).alias(name + "s"), F.bool_or(F.col(name + "k").isNull()).alias(name + "u"))
+        matched = values.filter(F.col(name + "k").isNotNull()).distinct().withColumn(name, F.lit(True))
+        df = e.df.withColumn(name + "n", F.expr(s.needle.fill())).join(about, cond, "left").drop(*names)
+        df = df.join(matched, cond & (F.col(name + "n") == F.col(name + "k")), "left").drop(*names)
+        return replace(e, df=df.withColumn(name, member(name)).drop(*[name + c for c in "knsu"]))
 
     def plain_or_compiled(self, n: Node) -> DataFrame:
         return self.compile(n) if self.compile else self.emit(n, set()).df
@@ -138,17 +163,26 @@ class Emitter:
             return self.hashed_scan(n, units) if units else Emitted(self.scan(n))
         if n.kind == "filter":
             e = self.emit(n.children[0], units)
+            if e.counters & set(n.cond.refs):
+                if n.cond.subs:
+                    raise PrivacyError("PAC rewrite: a condition may compare counters or hold subqueries, not both")
+                parts = conjuncts(n.cond.text)
+                by_world = [x for x in parts if any(f"`{c}`" in x for c in e.counters)]
+                for x in parts:
+                    if x not in by_world:
+                        e = replace(e, df=e.df.filter(x))
+                return self.in_worlds(e, " AND ".join(f"({x})" for x in by_world))
             if n.cond.subs:  # all that needs no subquery first: it may hold the keys of a join below
                 parts = conjuncts(n.cond.text)
                 for part in parts:
                     if "{S" not in part:
-                        e = Emitted(e.df.filter(part), e.hashes)
+                        e = replace(e, df=e.df.filter(part))
                 text = " AND ".join(f"({x})" for x in parts if "{S" in x)
                 n = Node("filter", n.children, n.output, cond=Expr(text, n.cond.refs, n.cond.type, None, n.cond.aggs, n.cond.subs, n.cond.outer))
                 if units and (masked := self.masked_filter(e, n.cond)):
                     return masked
             e, cond = self.with_subqueries(e, n.cond, bool(units))
-            return Emitted(e.df.filter(cond.text), e.hashes)
+            return replace(e, df=e.df.filter(cond.text))
         if n.kind == "project":
             e = self.emit(n.children[0], units)
             return self.project(e, n)
@@ -176,13 +210,13 @@ class Emitter:
             return Emitted(e.df.distinct(), e.hashes)
         if n.kind == "sort":
             e = self.emit(n.children[0], units)
-            return Emitted(e.df.orderBy(*self.sort_columns(n)), e.hashes)
+            return replace(e, df=e.df.orderBy(*self.sort_columns(n)))
         if n.kind == "limit":
             e = self.emit(n.children[0], units)
-            return Emitted(e.df.limit(n.n), e.hashes)
+            return replace(e, df=e.df.limit(n.n))
         if n.kind == "offset":
             e = self.emit(n.children[0], units)
-            return Emitted(e.df.offset(n.n), e.hashes)
+            return replace(e, df=e.df.offset(n.n))
         if n.kind == "expand":
             e = self.emit(n.children[0], units)
             rows = [F.struct(*[F.expr(x.text).cast(t.lower()).alias(u) for x, (u, _, t) in zip(row, n.output)]) for row in n.rows]
@@ -206,42 +240,56 @@ class Emitter:
 
     def project(self, e: Emitted, n: Node) -> Emitted:
         cols = []
-        hashes = {}
+        hashes, counters = {}, set()
         moved = {x.attr: u for x, u in n.exprs if x.attr}
-        for x, u in n.exprs:
+        for x, u in {u: (x, u) for x, u in reversed(n.exprs)}.values():  # a column may be named twice
             if x.subs:
                 e, x = self.with_subqueries(e, x, False)
-            cols.append(F.expr(x.text).alias(u))
+            used = e.counters & set(x.refs)
+            if used:
+                counters.add(u)
+            cols.append((each_world(x.text, used) if used and not x.attr else F.expr(x.text)).alias(u))
         for unit, (name, hops, keys) in e.hashes.items():
             hashes[unit] = (name, hops, tuple(moved.get(k, k) for k in keys))
-        return Emitted(e.df.select(*cols, *[h[0] for h in e.hashes.values()]), hashes)
+        return Emitted(e.df.select(*cols, *[h[0] for h in e.hashes.values()]), hashes, frozenset(counters))
 
     def join(self, n: Node, units: set[str]) -> Emitted:
         one_sided = n.how in ("left_semi", "left_anti")
-        left = self.emit(n.children[0], units)
-        right = self.emit(n.children[1], set() if one_sided else units)
+        if n.cond is not None and n.how in ("inner", "cross") and (n.cond.subs or units and any(map(self.counter_side, n.children))):
+            parts = conjuncts(n.cond.text)  # what compares counters is a filter above the join
+            counters = {c for child in n.children if units and (side := self.counter_side(child)) for c in side.counters}
+            later = [x for x in parts if "{S" in x or any(f"`{c}`" in x for c in counters)]
+            if later:
+                text = lambda xs: " AND ".join(f"({x})" for x in xs)
+                cond = Expr(text([x for x in parts if x not in later]), n.cond.refs, "BOOLEAN") if len(later) < len(parts) else None
+                inner = Node("join", n.children, n.output, how=n.how, cond=cond)
+                return self.emit(Node("filter", [inner], n.output, cond=Expr(text(later), n.cond.refs, "BOOLEAN", None, n.cond.aggs, n.cond.subs, n.cond.outer)), units)
+        if n.cond is not None and n.cond.subs:
+            raise PrivacyError("subqueries in the condition of an outer join are not supported")
+        left = (units and self.counter_side(n.children[0])) or self.emit(n.children[0], units)
+        right = (units and not one_sided and self.counter_side(n.children[1])) or self.emit(n.children[1], set() if one_sided else units)
         hashes, drop = dict(left.hashes), []
         for unit, h in right.hashes.items():
             mine = hashes.get(unit)
-            nullable = n.how == "left"  # the right side's hash is null where nothing matched
-            if mine is None or (h[1] < mine[1] and not nullable):
+            # an outer join's hash must come from the side whose rows all stay; the other's is null where nothing matched
+            if mine is None or n.how == "right" or (h[1] < mine[1] and n.how != "left"):
                 if mine is not None:
                     drop.append(mine[0])
                 hashes[unit] = h
             else:
                 drop.append(h[0])
         if n.cond is None:
-            df = left.df.crossJoin(right.df)
+            df = left.df.crossJoin(right.df)  # the query's own
         else:
-            if n.cond.subs:
-                raise PrivacyError("subqueries in join conditions are not supported")
             df = left.df.join(right.df, F.expr(n.cond.text), "inner" if n.how == "cross" else n.how)
-        return Emitted(df.drop(*drop), hashes)
+        return Emitted(df.drop(*drop), hashes, left.counters | right.counters)
 
     def inner_aggregate(self, n: Node, units: set[str]) -> Emitted:
         """An aggregate by the unit's key keeps each unit apart, so it stays exact and its hash passes through as a
         further group key. Any other inner aggregate can't be followed."""
         e = self.emit(n.children[0], units)
+        if e.counters & {r for x in n.expressions() for r in x.refs}:
+            raise PrivacyError("PAC rewrite: counters beside private rows may be compared, not aggregated again")
         if not units:
             return Emitted(self.aggregate(e.df, n))
         groups = {g.attr for g in n.groups}
@@ -275,13 +323,26 @@ class Emitter:
             df = e.df.join(counters.withColumnRenamed("c", "__c"), match, "inner").drop(*[f"__k_{i}" for i, _ in pairs])
         else:
             df = e.df.crossJoin(F.broadcast(counters.withColumnRenamed("c", "__c")))  # one row
-        world = cond.fill([], ["element_at(__c, CAST(__j AS INT) + 1)"])
-        bits = F.expr(f"transform(sequence(0, {WORLDS - 1}), __j -> {world})")
-        mask = pack(bits)
+        world = cond.fill([], ["`__c`"])
+        out = self.in_worlds(replace(e, df=df, counters=e.counters | {"__c"}), world)
+        return replace(out, df=out.df.drop("__c"), counters=e.counters)
+
+    def in_worlds(self, e: Emitted, cond: str) -> Emitted:
+        """Private rows keep the worlds in which a condition on counters holds, and go if none is left."""
+        if not e.hashes:
+            raise PrivacyError("PAC rewrite: counters can only be compared with rows of a privacy unit here")
+        mask, df = pack(each_world(cond, e.counters, "BOOLEAN")), e.df
         for name, _, _ in e.hashes.values():
             df = df.withColumn(name, F.col(name).bitwiseAND(mask))
         first = next(iter(e.hashes.values()))[0]
-        return Emitted(df.drop("__c").filter(F.col(first) != 0), e.hashes)
+        return replace(e, df=df.filter(F.col(first) != 0))
+
+
+def each_world(text: str, counters, kind: str = "DOUBLE") -> Column:
+    """An expression evaluated in each world, where these columns hold lists of counters."""
+    for c in counters:
+        text = text.replace(f"`{c}`", f"element_at(`{c}`, CAST(__j AS INT) + 1)")
+    return F.expr(f"transform(sequence(0, {WORLDS - 1}), __j -> CAST({text} AS {kind}))")
 
 
 def conjuncts(text: str) -> list[str]:

@@ -18,7 +18,8 @@ from ..functions import noise, worlds
 from ..plans.check import ALLOWED, private_scans
 from ..plans.ir import Agg, Expr, Node
 from .clip import clip_branch
-from .emit import Emitted, Emitter, group_outputs
+from .counting import world_table
+from .emit import Emitted, Emitter, call, each_world, group_outputs
 
 NUMERIC = ("INT", "BIGINT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "DECIMAL", "BOOLEAN", "DATE", "TIMESTAMP")
 
@@ -39,7 +40,7 @@ class WorldsCompiler(Emitter):
         super().__init__(spark, catalog, config)
         self.compile = self.compile_tree
         self.keep_counters = keep_counters
-        self.tag, self.correction, self.keys, self.extra = 0, 1.0, [], []
+        self.tag, self.correction, self.keys, self.extra, self.guarded = 0, 1.0, [], [], False
 
     # where to compile
 
@@ -77,6 +78,8 @@ class WorldsCompiler(Emitter):
         if self.is_target(n):
             return self.release(*self.counted(n))
         if n.kind == "filter":
+            if (by_world := self.voted_filter(n)) is not None:
+                return by_world
             e, cond = self.with_subqueries(Emitted(self.compile_tree(n.children[0])), n.cond, False)
             return e.df.filter(cond.text)
         if n.kind == "project":
@@ -98,7 +101,47 @@ class WorldsCompiler(Emitter):
             return {"sort": lambda: df.orderBy(*self.sort_columns(n)), "limit": lambda: df.limit(n.n), "offset": lambda: df.offset(n.n), "distinct": df.distinct}[n.kind]()
         if n.kind == "scan":
             return self.scan(n)
-        return self.raw(n)
+        if n.kind == "window":
+            df = self.compile_tree(n.children[0])
+            return df.select("*", *[F.expr(x.fill([call(a) for a in x.aggs])).alias(u) for x, u in n.exprs])
+        raise PrivacyError(f"PAC rewrite: a {n.kind} node is not supported above a private aggregate")
+
+    def voted_filter(self, n: Node) -> DataFrame | None:
+        """A filter by a private scalar aggregate with no private aggregate above: the condition is evaluated in each world,
+        and the worlds decide by vote."""
+        cfg, s = self.config, n.cond.subs[0] if len(n.cond.subs) == 1 else None
+        if not cfg.pac_categorical or s is None or s.kind != "scalar" or s.outer or not private_scans(s.plan, self.catalog):
+            return None
+        counters = self.counters_of(s.plan, [])
+        if counters is None:
+            return None
+        self.n_hash += 1
+        name = f"__v{self.n_hash}"
+        df = self.compile_tree(n.children[0]).crossJoin(F.broadcast(counters.withColumnRenamed("c", name)))  # one row
+        bits = each_world(n.cond.fill([], [f"`{name}`"]), [name], "BOOLEAN")
+        return df.filter(worlds.pac_filter(bits, cfg, self.correction, name, [F.col(f"`{u}`") for u, _, _ in n.children[0].output])).drop(name)
+
+    def counter_side(self, n: Node) -> Emitted | None:
+        below = n
+        while below.kind in ("project", "sort"):
+            below = below.children[0]
+        if below.kind != "aggregate" or not private_scans(below, self.catalog) or not self.config.pac_categorical:
+            return None
+        if self.passes_key(below) or not self.is_target(below) or any(a.func not in ALLOWED for x, _ in below.exprs for a in x.aggs):
+            return None
+        if n.kind == "sort":
+            return self.counter_side(n.children[0])
+        if n.kind == "project":
+            inner = self.counter_side(n.children[0])
+            return inner and self.project(inner, n)
+        keep, keys, extra = self.correction, self.keys, self.extra  # of the aggregate that this one is beside
+        df, _, outs = self.counted(n)
+        self.extra = []
+        made = {u: self.per_world(x, cells) for x, u, cells in outs if x.aggs}
+        df = df.select("*", *[c.alias(name) for name, c in self.extra])
+        df = df.select("*", *[c.alias(u) for u, c in made.items()]).select(*group_outputs(n))
+        self.correction, self.keys, self.extra = keep, keys, extra
+        return Emitted(df, {}, frozenset(made))
 
     def counters_of(self, n: Node, keys: list[str]) -> DataFrame | None:
         """(c, __k_<key>, ...): the counter list of a private scalar aggregate, by its correlated columns, for
@@ -149,15 +192,15 @@ class WorldsCompiler(Emitter):
                 if not any(a is c for c in calls):
                     calls.append(a)
         plain_calls = [a for a in calls if not a.distinct or a.func in ("min", "max")]
-        by_arg: dict[str, list[Agg]] = {}
+        by_arg: dict[tuple[str, str | None], list[Agg]] = {}
         for a in calls:
             if a.distinct and a.func not in ("min", "max"):
-                by_arg.setdefault(a.arg.fill(), []).append(a)
+                by_arg.setdefault((a.arg.fill(), a.where and a.where.fill()), []).append(a)
         branches, cells = [], {}
         if plain_calls or not by_arg:
             branches.append(self.plain_branch(rows, keys, plain_calls, cells))
-        for arg, own in by_arg.items():
-            branches.append(self.distinct_branch(rows, keys, arg, own, cells))
+        for (arg, where), own in by_arg.items():
+            branches.append(self.distinct_branch(rows, keys, arg, where, own, cells))
         df = branches[0]
         for other in branches[1:]:
             df = self.beside(df, other, keys)
@@ -204,42 +247,12 @@ class WorldsCompiler(Emitter):
                 made(k, "c", "m", v, "sum", f"__v{k}")
                 made(k, "d", "e", some, "sum", f"__n{k}")
                 cells[id(a)] = (Cell(f"__c{k}", f"__m{k}", 2, True, "DOUBLE"), Cell(f"__d{k}", f"__e{k}", 2, True, "DOUBLE"))
-        df = self.world_table(per_unit, keys, specs, F.col("__u"))
+        df = world_table(per_unit, keys, specs, F.col("__u"))
         for counters, mask, func, column in clipped:
             part = clip_branch(per_unit.withColumn("__x", F.expr(column)), keys, "__x", func, self.config, counters, mask)
             df = self.beside(df, part, keys)
         return df
 
-    @staticmethod
-    def world_table(rows: DataFrame, keys: list[str], specs: list[tuple], updates: Column | None = None) -> DataFrame:
-        """(keys, counters and mask of each spec, __updates): the values of rows (hash __h) in each world.
-
-        A row becomes one for each world and is aggregated at once by (group, world), so that neither the plan nor its generated code
-        grows with 64 times the aggregates; 64 rows a group are then put together."""
-        there = F.call_function("shiftrightunsigned", F.col("__h"), F.col("__j")).bitwiseAND(F.lit(1).cast("long")) == 1
-        names = [f"__i{k}" for k in range(len(specs))]
-        wide = rows.select(*keys, "__h", *([updates.alias("__u0")] if updates is not None else []), *[value.alias(n) for n, (_, _, _, value) in zip(names, specs)])
-        aggs = [F.sum("__u0" if updates is not None else F.lit(1)).alias("__u")]
-        aggs += [{"sum": F.sum, "min": F.min, "max": F.max}[func](F.when(there, F.col(n).cast("double"))).alias(f"__a{k}") for k, (n, (_, _, func, _)) in enumerate(zip(names, specs))]
-        each = wide.withColumn("__j", F.explode(F.sequence(F.lit(0), F.lit(worlds.WORLDS - 1)))).groupBy(*keys, "__j").agg(*aggs)
-        cells = F.collect_list(F.struct("__j", *[f"__a{k}" for k in range(len(specs))]))  # 64 a group
-        lists = each.groupBy(*keys).agg(F.array_sort(cells).alias("__l"), F.coalesce(F.max("__u"), F.lit(0)).alias("__updates"))
-        out = []
-        for k, (counters, mask, _, _) in enumerate(specs):
-            values = F.transform("__l", WorldsCompiler._field(k))
-            out.append(F.when(F.size("__l") == worlds.WORLDS, values).otherwise(F.array_repeat(F.lit(0.0), worlds.WORLDS)).alias(counters))
-            out.append(F.aggregate("__l", F.lit(0).cast("long"), WorldsCompiler._or(k)).alias(mask))
-        return lists.select(*keys, "__updates", *out)
-
-    @staticmethod
-    def _field(k: int):
-        return lambda x: F.coalesce(x[f"__a{k}"], F.lit(0.0))
-
-    @staticmethod
-    def _or(k: int):
-        one = F.lit(1).cast("long")
-        return lambda m, x: F.when(x[f"__a{k}"].isNotNull(), m.bitwiseOR(F.call_function("shiftleft", one, x["__j"]))).otherwise(m)
-
     def beside(self, df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
         """Columns of another result of the same groups."""
         self.n_hash += 1
@@ -252,13 +265,12 @@ class WorldsCompiler(Emitter):
             cond = cond & F.col(c).eqNullSafe(F.col(tag + c))
         return df.join(renamed, cond, "left").drop(*[tag + c for c in keys])
 
-    def distinct_branch(self, rows: DataFrame, keys: list[str], arg: str, calls: list[Agg], cells: dict) -> DataFrame:
-        """DISTINCT: a value is in a world if any unit that has it is."""
+    def distinct_branch(self, rows: DataFrame, keys: list[str], arg: str, where: str | None, calls: list[Agg], cells: dict) -> DataFrame:
+        """DISTINCT calls of one argument and filter: a value is in a world if any unit that has it is."""
         b = len(cells)
-        where = calls[0].where
         taken = rows.withColumn("__x", F.expr(arg)).filter("__x IS NOT NULL AND __h IS NOT NULL")
         if where is not None:
-            taken = taken.filter(where.fill())
+            taken = taken.filter(where)
         values = taken.groupBy(*keys, "__x").agg(F.bit_or("__h").alias("__h"))
         x, specs = self.number(F.col("__x"), calls[0]), []
         if any(a.func in ("sum", "avg") for a in calls):
@@ -268,7 +280,7 @@ class WorldsCompiler(Emitter):
         for a in calls:
             s, c = Cell(f"__ds{b}", f"__dm{b}", 2, True, a.type), Cell(f"__dc{b}", f"__dn{b}", 2, True, a.type)
             cells[id(a)] = (s, c) if a.func == "avg" else s if a.func == "sum" else c
-        return self.world_table(values, keys, specs).drop("__updates")
+        return world_table(values, keys, specs).drop("__updates")
 
     @staticmethod
     def number(v: Column, a: Agg) -> Column:
@@ -302,13 +314,14 @@ class WorldsCompiler(Emitter):
 
     def release(self, df: DataFrame, n: Node, outs: list) -> DataFrame:
         cfg = self.config
-        df = self.guard(df)
+        track = cfg.pac_ptracking and cfg.pac_mi > 0 and not self.keep_counters and any(x.text == "{A0}" for x, _, _ in outs)
+        if not track:  # tracking sees all groups itself
+            df = self.guard(df, n)
         if self.keep_counters:
             return self.stored(df, n, outs)
         self.extra = []
         made: dict[str, Column] = {}
         tracked: list[tuple] = []
-        track = cfg.pac_ptracking and cfg.pac_mi > 0
         for x, u, cells in outs:
             if not x.aggs:
                 continue
@@ -340,7 +353,8 @@ class WorldsCompiler(Emitter):
                     singles.append(f"`{name}`")
                 made[u] = F.expr(x.fill(singles))
         if tracked:
-            df = noise.release_tracked(df, [(t, c.counters, c.mask, self.correction, c.scale, c.scaled) for t, c in tracked], [f"__g{k}" for k in range(len(n.groups))], cfg)
+            watch = ("__updates", "__m0", "__c0") if {"__updates", "__c0"} <= set(df.columns) and not self.guarded else None
+            df = noise.release_tracked(df, [(t, c.counters, c.mask, self.correction, c.scale, c.scaled) for t, c in tracked], [f"__g{k}" for k in range(len(n.groups))], cfg, watch)
         if self.extra:
             df = df.select("*", *[c.alias(name) for name, c in self.extra])
         df = df.select("*", *[c.alias(u) for u, c in made.items()])
@@ -360,15 +374,18 @@ class WorldsCompiler(Emitter):
             return F.timestamp_micros(noise.whole(x).cast("long")).cast(kind.lower())
         return x.cast(kind.lower())
 
-    def guard(self, df: DataFrame) -> DataFrame:
+    def guard(self, df: DataFrame, n: Node) -> DataFrame:
         """Fails, when the result is computed, if most groups look like single units."""
-        if "__updates" not in df.columns or "__c0" not in df.columns:
+        if self.guarded or "__updates" not in df.columns or "__c0" not in df.columns:
             return df
         odd, sound = noise.diversity(F.col("__updates"), F.col("__m0"), F.col("__c0"))
+        bad = (F.col("__tu") >= noise.FEWEST_UPDATES) & (F.col("__to") > 2 * F.col("__ts"))
+        ok = F.when(bad, F.raise_error(F.lit(noise.NO_DIVERSITY)).cast("boolean")).otherwise(F.lit(True))
+        if not n.groups:  # the one row has its own totals
+            totals = df.select("*", F.col("__updates").alias("__tu"), odd.cast("long").alias("__to"), sound.cast("long").alias("__ts"))
+            return totals.filter(ok).drop("__tu", "__to", "__ts")
         totals = df.agg(F.sum("__updates").alias("__tu"), F.sum(odd.cast("long")).alias("__to"), F.sum(sound.cast("long")).alias("__ts"))
-        bad = (F.col("__tu") >= 500) & (F.col("__to") > 2 * F.col("__ts"))
-        checked = totals.select(F.when(bad, F.raise_error(F.lit("detected absence of sample diversity")).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
-        return df.crossJoin(F.broadcast(checked)).filter("__ok").drop("__ok")  # one row
+        return df.crossJoin(F.broadcast(totals.select(ok.alias("__ok")))).filter("__ok").drop("__ok")  # one row
 
     def stored(self, df: DataFrame, n: Node, outs: list) -> DataFrame:
         """Raw counters instead of answers, for derived tables."""
@@ -402,7 +419,7 @@ class WorldsCompiler(Emitter):
         if not any(e.attr and target(e) in outs_by for e, _, _ in sort.orders) or not all(e.attr for e, _, _ in sort.orders):
             return None
         df, node, outs = self.counted(below)
-        df = self.guard(df)
+        df = self.guard(df, node)
         self.extra, order = [], []
         for e, asc, first in sort.orders:
             found = next((o for o in outs if o[1] == target(e)), None)
@@ -418,9 +435,9 @@ class WorldsCompiler(Emitter):
         sorts = [(c.asc_nulls_first() if f else c.asc_nulls_last()) if a else (c.desc_nulls_first() if f else c.desc_nulls_last()) for c, a, f in order]
         wanted = math.ceil(self.config.pac_topk_expansion * (n.n + offset))
         chosen = df.orderBy(*sorts).limit(wanted)
-        guard, self.guard = self.guard, lambda x: x
+        self.guarded = True  # over all groups, not the chosen ones
         out = self.release(chosen, node, outs)
-        self.guard = guard
+        self.guarded = False
         projects, at = [], sort.children[0]
         while at is not below:
             projects.append(at)

@@ -19,6 +19,7 @@ from ..engine import PrivacySession
 from ..functions import noise, pu_hash, worlds
 from ..operators.diff import utility_diff
 from ..sources import register_parquet
+from ..streaming import windowed_counters
 
 BASE = (
     "ALTER TABLE customer ADD PRIVACY_KEY (c_custkey)", "ALTER TABLE customer SET PU", "ALTER PU TABLE customer ADD PROTECTED (c_custkey, c_name, c_acctbal)",
@@ -28,7 +29,7 @@ SUPPLIER = ("ALTER TABLE supplier ADD PRIVACY_KEY (s_suppkey)", "ALTER TABLE sup
 LINES = ("ALTER TABLE lineitem ADD PRIVACY_KEY (l_orderkey, l_linenumber)", "ALTER TABLE lineitem SET PU", "ALTER PU TABLE lineitem ADD PROTECTED (l_extendedprice)")
 EXACT = {"pac_mi": 0.0, "pac_hash": "md5"}
 ELASTIC = {"privacy_mode": "dp_elastic", "privacy_noise": False, "dp_sum_bound": 1000.0}
-QH = PrivacyConfig().query_hash
+QH = PrivacyConfig(**EXACT).query_hash
 
 
 def world(key: str, j: int = 0, qh: int = QH) -> str:
@@ -196,6 +197,57 @@ add(
     f"SELECT o_orderstatus, {c2(O, 'o_totalprice > 50000')} AS n, {s2('o_totalprice', O + ' AND o_orderpriority = ' + repr('1-URGENT'))} AS t FROM orders GROUP BY ALL",
 )
 add("pac_rollup_free_group", "SELECT o_orderstatus, o_orderpriority, max(o_orderdate) AS d FROM orders GROUP BY o_orderstatus, o_orderpriority", f"SELECT o_orderstatus, o_orderpriority, max(CASE WHEN {O} THEN o_orderdate END) AS d FROM orders GROUP BY ALL")
+add("pac_not_in", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY o_orderstatus", f"SELECT o_orderstatus, {c2(O)} AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) GROUP BY ALL")
+_SOME_NULL = "(o_orderkey NOT IN (SELECT CASE WHEN l_quantity > 49 THEN NULL ELSE l_orderkey END FROM lineitem WHERE l_quantity > 45)) IS NULL"
+add("pac_not_in_null", f"SELECT o_orderstatus, count(*) AS n FROM orders WHERE {_SOME_NULL} GROUP BY o_orderstatus", f"SELECT o_orderstatus, {c2(O)} AS n FROM orders WHERE {_SOME_NULL} GROUP BY ALL")
+_ODD = "'a  b' AS a, 'x -- y' AS b, '/* c */' AS c"
+add("pac_literals", f"SELECT o_orderpriority, {_ODD}, count(*) AS n FROM orders -- of all\nWHERE o_orderpriority <> '4-NOT  SPECIFIED' /* one blank too many */ GROUP BY o_orderpriority;", f"SELECT o_orderpriority, {_ODD}, {c2(O)} AS n FROM orders GROUP BY o_orderpriority")
+add(
+    "pac_distinct_filters", "SELECT o_orderstatus, count(DISTINCT o_orderdate) FILTER (WHERE o_totalprice > 200000) AS a, count(DISTINCT o_orderdate) FILTER (WHERE o_totalprice > 100000) AS b, count(DISTINCT o_orderdate) AS c FROM orders GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, " + ", ".join(f"2 * count(DISTINCT CASE WHEN {O} AND o_totalprice > {x} THEN o_orderdate END) AS {n}" for n, x in (("a", 200000), ("b", 100000), ("c", -1))) + " FROM orders GROUP BY ALL",
+)
+add(
+    "pac_right_join", "SELECT o_orderstatus, count(*) AS n, sum(o_totalprice) AS t FROM customer RIGHT JOIN orders ON c_custkey = o_custkey AND c_nationkey < 5 GROUP BY o_orderstatus",
+    f"SELECT o_orderstatus, {c2(O)} AS n, {s2('o_totalprice', O)} AS t FROM orders GROUP BY ALL",
+)
+add(
+    "pac_join_counters", "SELECT l_linestatus, count(*) AS n, sum(l_tax) AS t FROM lineitem JOIN (SELECT l_returnflag AS f, avg(l_quantity) AS a FROM lineitem GROUP BY l_returnflag) m ON l_returnflag = f AND l_quantity < a GROUP BY l_linestatus",
+    f"WITH m AS (SELECT l_returnflag AS f, avg(l_quantity) AS a FROM {LO} WHERE {O} GROUP BY ALL) SELECT l_linestatus, {c2(O)} AS n, {s2('l_tax', O)} AS t FROM {LO} JOIN m ON l_returnflag = f WHERE l_quantity < a GROUP BY ALL",
+)
+add(
+    "pac_join_subquery", "SELECT count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey AND l_quantity > (SELECT avg(l_quantity) FROM lineitem)",
+    f"WITH m AS (SELECT avg(l_quantity) AS a FROM {LO} WHERE {O}) SELECT {c2(O)} AS n FROM {LO} JOIN part ON l_partkey = p_partkey, m WHERE l_quantity > a",
+)
+add(
+    "pac_voted_filter", "SELECT r_regionkey FROM region WHERE r_regionkey * 400 < (SELECT count(*) FROM customer)",
+    "SELECT r_regionkey FROM region, (SELECT " + ", ".join(f"{c2(world('c_custkey', j))} AS c{j}" for j in range(64)) + " FROM customer) WHERE " + " + ".join(f"CAST(r_regionkey * 400 < c{j} AS INTEGER)" for j in range(64)) + " >= 32",
+)
+add(
+    "pac_window_released", "SELECT m, n, sum(n) OVER () AS total, rank() OVER (ORDER BY n, m) AS r FROM (SELECT c_mktsegment AS m, count(*) AS n FROM customer GROUP BY c_mktsegment) x",
+    f"SELECT m, n, CAST(sum(n) OVER () AS BIGINT) AS total, CAST(rank() OVER (ORDER BY n, m) AS INTEGER) AS r FROM (SELECT c_mktsegment AS m, {c2(C)} AS n FROM customer GROUP BY ALL) x", EXACT | {"pac_conservative_mode": False},
+)
+for name, sets in (("pac_cube", "CUBE (o_orderstatus, o_orderpriority)"), ("pac_grouping_sets", "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")):
+    add(name, f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {sets}", f"SELECT o_orderstatus, o_orderpriority, {c2(O)} AS n FROM orders GROUP BY {sets}")
+add(
+    "pac_lambda_argument", "SELECT o_orderstatus, sum(aggregate(transform(array(o_totalprice, 1D), x -> x + 1), 0D, (a, x) -> a + x)) AS t FROM orders GROUP BY o_orderstatus",
+    f"SELECT o_orderstatus, {s2('(o_totalprice + 3)', O)} AS t FROM orders GROUP BY ALL",
+)
+add(
+    "pac_scalar_functions", "SELECT date_trunc('YEAR', o_orderdate) AS y, substring(o_orderpriority, 1, 1) AS p, count(*) AS n, sum(CASE WHEN o_orderpriority LIKE '%URGENT' THEN o_totalprice ELSE 0 END) AS t FROM orders WHERE regexp_replace(o_orderpriority, '[0-9]-', '') <> 'LOW' AND length(o_orderpriority) BETWEEN 5 AND 20 GROUP BY 1, 2",
+    f"SELECT date_trunc('year', o_orderdate) AS y, substr(o_orderpriority, 1, 1) AS p, {c2(O)} AS n, round(2 * sum(CASE WHEN {O} AND o_orderpriority LIKE '%URGENT' THEN o_totalprice ELSE 0 END), 2) AS t FROM orders WHERE regexp_replace(o_orderpriority, '[0-9]-', '') <> 'LOW' AND length(o_orderpriority) BETWEEN 5 AND 20 GROUP BY 1, 2",
+)
+add("pac_select_distinct", "SELECT count(*) AS n FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders) x", f"SELECT {c2(O)} AS n FROM (SELECT DISTINCT o_orderstatus, o_custkey FROM orders) x")
+add("pac_theta_join", "SELECT count(*) AS n FROM customer JOIN nation ON c_nationkey < n_nationkey", f"SELECT {c2(C)} AS n FROM customer JOIN nation ON c_nationkey < n_nationkey")
+add("pac_unset_unit", "SELECT c_mktsegment, sum(c_acctbal) AS t FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS t FROM customer GROUP BY ALL", None, (*BASE, "ALTER TABLE customer UNSET PU"))
+_HC = "pac_hash(CAST(conv(substr(md5(CAST(c_custkey AS STRING)), 1, 16), 16, -10) AS BIGINT))"
+add(
+    "pac_division_in_sql", f"SELECT c_mktsegment, pac_noised_div(pac_sum({_HC}, c_acctbal), pac_count({_HC})) AS a, pac_noised_avg({_HC}, c_acctbal) AS b, pac_mean(pac_coalesce(pac_count({_HC}))) AS m FROM customer GROUP BY c_mktsegment",
+    f"SELECT c_mktsegment, round(avg(CASE WHEN {C} THEN c_acctbal END), 2) AS a, round(avg(CASE WHEN {C} THEN c_acctbal END), 2) AS b, round(2 * sum({popcount('c_custkey')}) / 64.0, 2) AS m FROM customer GROUP BY ALL",
+)
+add(
+    "pac_list_count_in_sql", f"SELECT pac_mean(pac_count(c)) AS n, pac_mean(pac_sum(c)) AS t FROM (SELECT c_mktsegment, pac_count({_HC}) AS c FROM customer GROUP BY c_mktsegment) x",
+    f"SELECT CAST(count(DISTINCT c_mktsegment) AS DOUBLE) AS n, round(2 * sum({popcount('c_custkey')}) / 64.0, 2) AS t FROM customer",
+)
 add("plain_passthrough", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL")
 add("noise_off_exact", "SELECT c_mktsegment, sum(c_acctbal) AS t FROM customer GROUP BY c_mktsegment", "SELECT c_mktsegment, round(sum(c_acctbal), 2) AS t FROM customer GROUP BY ALL", {"privacy_noise": False})
 
@@ -214,6 +266,16 @@ add(
     _LEVELS.format(support=40) + f"SELECT g, hi, lo FROM (SELECT DISTINCT g FROM u) LEFT JOIN (SELECT g, round(max(CASE WHEN {K} THEN v END), 2) AS hi, round(min(CASE WHEN {K} THEN v END), 2) AS lo {_KEPT} GROUP BY g) USING (g)", EXACT | {"pac_clip_support": 40},
 )
 
+_ACCOUNTS = _LEVELS.replace(_UNITS, "(SELECT c_mktsegment AS g, c_custkey AS k, c_acctbal AS v FROM customer)").format(support=20)
+add(
+    "pac_clip_in_sql", f"SELECT c_mktsegment AS g, pac_noised_clip_sum({_HC}, c_acctbal) AS t, pac_noised_clip_max({_HC}, c_acctbal) AS hi, pac_noised_clip_min({_HC}, c_acctbal) AS lo, pac_noised_clip_sumcount({_HC}, 1) AS n FROM customer GROUP BY c_mktsegment",
+    _ACCOUNTS + f"SELECT g, t, hi, lo, n FROM (SELECT g, {c2(K)} AS n FROM u GROUP BY g) LEFT JOIN (SELECT g, {s2('v', K)} AS t, round(max(CASE WHEN {K} THEN v END), 2) AS hi, round(min(CASE WHEN {K} THEN v END), 2) AS lo {_KEPT} GROUP BY g) USING (g)", EXACT | {"pac_clip_support": 20},
+)
+add(
+    "pac_clip_unsupported", "SELECT c_nationkey AS g, sum(c_acctbal) AS t FROM customer GROUP BY c_nationkey",
+    "SELECT DISTINCT c_nationkey AS g, CAST(NULL AS DOUBLE) AS t FROM customer", EXACT | {"pac_clip_support": 1_000_000},
+)
+
 B = "greatest(least({}, 1000), -1000)"
 add("dp_count", "SELECT count(*) AS n FROM orders", "SELECT count(*) AS n FROM orders", ELASTIC)
 add("dp_sum_clip", "SELECT o_orderstatus, sum(o_totalprice) AS t FROM orders GROUP BY o_orderstatus", f"SELECT o_orderstatus, round(sum({B.format('o_totalprice')}), 2) AS t FROM orders GROUP BY ALL", ELASTIC)
@@ -225,16 +287,23 @@ add(
 add("dp_having_avg", "SELECT l_linenumber, avg(l_quantity) AS a FROM lineitem GROUP BY l_linenumber HAVING avg(l_quantity) > 25", f"SELECT * FROM (SELECT l_linenumber, round(sum({B.format('l_quantity')}) / count(*), 2) AS a FROM lineitem GROUP BY ALL) WHERE a > 25", ELASTIC)
 add("dp_filter_clause", "SELECT o_orderstatus, sum(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS t FROM orders GROUP BY o_orderstatus", f"SELECT o_orderstatus, round(sum({B.format('o_totalprice')}) FILTER (WHERE o_orderpriority = '1-URGENT'), 2) AS t FROM orders GROUP BY ALL", ELASTIC)
 add("dp_implicit_chain", "SELECT l_linestatus, count(l_quantity) AS n FROM lineitem WHERE l_discount > 0.02 GROUP BY l_linestatus", "SELECT l_linestatus, count(l_quantity) AS n FROM lineitem WHERE l_discount > 0.02 GROUP BY ALL", ELASTIC)
+add("dp_tau_noise", "SELECT p FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY o_orderpriority) x", "SELECT DISTINCT o_orderpriority AS p FROM orders", {"privacy_mode": "dp_elastic", "dp_epsilon": 20.0, "privacy_min_group_count": 3.0, "privacy_seed": 7})
+add("dp_tau_withheld", "SELECT p FROM (SELECT o_orderpriority AS p, count(*) AS n FROM orders GROUP BY o_orderpriority) x", "SELECT o_orderpriority AS p FROM orders WHERE FALSE", {"privacy_mode": "dp_elastic", "privacy_min_group_count": 1e6, "privacy_seed": 7})
 add("dp_tau_off", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL", ELASTIC | {"privacy_min_group_count": 3.0})
 
 NOISY = {
     "noise_gaussian": ("SELECT o_orderpriority, sum(o_totalprice) AS t, count(*) AS n FROM orders GROUP BY o_orderpriority", {"privacy_seed": 7}),
-    "noise_untracked": ("SELECT o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority", {"pac_ptracking": False}),
-    "noise_laplace": ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", {"privacy_mode": "dp_elastic", "dp_delta": 1e-6}),
-    "noise_repaired_hash": ("SELECT count(*) AS n FROM customer", {"pac_hash_repair": True}),
-    "noise_min_group": ("SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber", {"privacy_min_group_count": 2.0}),
+    "noise_untracked": ("SELECT o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority", {"pac_ptracking": False, "privacy_seed": 7}),
+    "noise_laplace": ("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus", {"privacy_mode": "dp_elastic", "dp_delta": 1e-6, "privacy_seed": 7}),
+    "noise_repaired_hash": ("SELECT count(*) AS n FROM customer", {"pac_hash_repair": True, "privacy_seed": 7}),
+    "noise_min_group": ("SELECT l_linenumber, count(*) AS n FROM lineitem GROUP BY l_linenumber", {"privacy_min_group_count": 2.0, "privacy_seed": 7}),
 }
 
+COMPARISONS = {
+    "gt": (lambda a, b: a > b, ">"), "gte": (lambda a, b: a >= b, ">="), "lt": (lambda a, b: a < b, "<"),
+    "lte": (lambda a, b: a <= b, "<="), "eq": (lambda a, b: a == b, "="), "neq": (lambda a, b: a != b, "<>"),
+}
+
 REFUSED = {
     "protected_output": ("SELECT c_name FROM customer", "can only be accessed inside aggregate functions"),
     "link_output": ("SELECT o_custkey FROM orders", "can only be accessed inside aggregate functions"),
@@ -244,6 +313,18 @@ REFUSED = {
     "full_join": ("SELECT count(*) AS n FROM orders FULL OUTER JOIN lineitem ON o_orderkey = l_orderkey", "subqueries are not supported"),
     "unsupported": ("SELECT stddev(o_totalprice) AS s, count(*) AS n FROM orders", "unsupported aggregate function"),
     "union_root": ("SELECT c_name FROM customer UNION ALL SELECT n_name FROM nation", "can only be accessed inside aggregate functions"),
+    "list_of_names": ("SELECT collect_list(c_name) AS x FROM customer", "can only be accessed inside aggregate functions"),
+    "first_name": ("SELECT first(c_name) AS x FROM customer", "can only be accessed inside aggregate functions"),
+    "deviation": ("SELECT stddev(c_acctbal) AS x FROM customer", "can only be accessed inside aggregate functions"),
+    "unlisted_aggregate": ("SELECT approx_count_distinct(c_mktsegment) AS x FROM customer", "unsupported aggregate function"),
+    "name_by_subquery": ("SELECT r_name, (SELECT c_name FROM customer WHERE c_custkey = 1) AS x FROM region", "can only be accessed inside aggregate functions"),
+    "name_by_lateral_view": ("SELECT x FROM customer LATERAL VIEW explode(array(c_name)) t AS x", "can only be accessed inside aggregate functions"),
+    "lateral_view": ("SELECT count(x) AS n FROM customer LATERAL VIEW explode(array(c_name)) t AS x", "a table function is not supported"),
+    "sum_beside_counters": ("SELECT sum(c_acctbal) AS s, pac_noised_count(pac_hash(xxhash64(c_custkey))) AS n FROM customer", "no other aggregate of private rows"),
+    "counters_of_no_key": ("SELECT pac_noised_sum(7, c_acctbal) AS s FROM customer", "must be made of the privacy unit's key"),
+    "counters_of_other_column": ("SELECT pac_noised_sum(xxhash64(c_mktsegment), c_acctbal) AS s FROM customer", "must be made of the privacy unit's key"),
+    "window_of_balances": ("SELECT sum(c_acctbal) OVER () AS t FROM customer", "can only be accessed inside aggregate functions"),
+    "window_of_rows": ("SELECT row_number() OVER (ORDER BY c_mktsegment) AS t FROM customer", "window functions are not supported"),
     "group_by_key": ("SELECT c_custkey, count(*) AS n FROM customer GROUP BY c_custkey", "can only be accessed inside aggregate functions"),
 }
 
@@ -291,6 +372,49 @@ def derived_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(s.sql(f"SELECT p, t, n FROM {name}"), 0)
 
 
+def selected_worlds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The worlds that each comparison with the world's own number leaves of a unit's hash."""
+    h, numbers = pu_hash([F.col("c_custkey")], PrivacyConfig(**EXACT)), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: j.cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("h", h)
+    return rows.groupBy("c_mktsegment").agg(*[F.sum(F.bit_count(getattr(worlds, f"pac_select_{op}")(F.col("h"), F.lit(20.0), numbers))).cast("long").alias(op) for op in COMPARISONS])
+
+
+def filter_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of the worlds on each comparison of a number with a group's count."""
+    cfg = PrivacyConfig(**EXACT)
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumn("h", pu_hash([F.col("c_custkey")], cfg))
+    lists = rows.groupBy("c_nationkey").agg(worlds.pac_count(F.col("h")).alias("c"), F.count("*").alias("n"))
+    return lists.select("c_nationkey", *[getattr(worlds, f"pac_filter_{op}")(F.col("n"), F.col("c"), cfg).alias(op) for op in COMPARISONS])
+
+
+def derived_reads(sql: str, digits: int = 0) -> Callable[[SparkSession, str], DataFrame]:
+    def make(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = session(spark, sf_dir, EXACT)
+        name = f"mv_{uuid.uuid4().hex}"
+        s.sql(f"CREATE TABLE {name} AS SELECT o_orderpriority AS p, o_orderstatus AS s, sum(o_totalprice) AS t, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY o_orderpriority, o_orderstatus")
+        s.sql(f"INSERT INTO {name} SELECT o_orderpriority, o_orderstatus, sum(o_totalprice), count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY o_orderpriority, o_orderstatus")
+        return tidy(s.sql(sql.format(name)), digits)
+
+    return make
+
+
+def renamed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows copied under new names keep their unit: the copy's answers are as private as the original's."""
+    s = session(spark, sf_dir, EXACT)
+    name = f"copy_{uuid.uuid4().hex}"
+    s.sql(f"CREATE TABLE {name} AS SELECT o_custkey AS who, o_orderstatus AS s, o_totalprice AS price FROM orders")
+    return tidy(s.sql(f"SELECT s, sum(price) AS t, count(*) AS n FROM {name} GROUP BY s"))
+
+
+def window_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of time windows, as a stream keeps them, released window by window."""
+    cfg = PrivacyConfig(**EXACT)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("at", F.col("ts").cast("timestamp"))
+    counted = windowed_counters(events, "at", "1 day", "1 hour", pu_hash([F.col("user_id")], cfg), F.col("value"), ["event_type"])
+    out = counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", noise.release(F.col("counters"), F.col("mask"), cfg, scale=2.0).alias("t"))
+    return tidy(out)
+
+
 def diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(session(spark, sf_dir, EXACT | {"pac_diffcols": "1"}).sql("SELECT o_orderpriority, sum(o_totalprice) AS t FROM orders GROUP BY o_orderpriority"), 4)
 
@@ -301,6 +425,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {
         "reject_catalogue": reject_catalogue, "pac_counters_unnest": counters_unnest, "pac_list_reagg": list_reaggregation,
         "pac_filter_masks": filter_masks, "pac_derived_table": derived_table, "pac_utility_diff": diff_query,
+        "pac_select_family": selected_worlds, "pac_filter_family": filter_family, "pac_renamed_copy": renamed_copy, "stream_window_counters": window_counters,
+        "pac_derived_filter": derived_reads("SELECT p, s, n FROM {} WHERE n > 1000 AND s <> 'O' ORDER BY n"), "pac_derived_aggregate": derived_reads("SELECT s, sum(n) AS n, max(t) AS t, count(*) AS k FROM {} GROUP BY s"),
     }
 
 
@@ -314,6 +440,15 @@ def oracle_sql() -> dict[str, str]:
     above = " + ".join(f"CAST({c2(world('c_custkey', j))} > m AS INTEGER)" for j in range(64))
     found["pac_filter_masks"] = f"WITH o AS (SELECT c_nationkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey), l AS (SELECT avg(n) AS m FROM (SELECT count(*) AS n FROM o GROUP BY c_nationkey)) SELECT c_nationkey, count(*) AS n FROM o, l GROUP BY c_nationkey, m HAVING {above} >= 32"
     found["pac_derived_table"] = f"SELECT o_orderpriority AS p, round(CAST(CAST({s2('o_totalprice', O)} AS FLOAT) AS DOUBLE), 0) AS t, CAST({c2(O)} AS DOUBLE) AS n FROM orders GROUP BY ALL"
+    found["pac_select_family"] = "SELECT c_mktsegment, " + ", ".join(f"CAST({' + '.join([f'count(CASE WHEN {world("c_custkey", j)} THEN 1 END)' for j in range(64) if sign(20, j)])} AS BIGINT) AS {op}" for op, (sign, _) in COMPARISONS.items()) + " FROM customer GROUP BY ALL"
+    votes = ", ".join(f"{' + '.join(f'CAST(n {text} c{j} AS INTEGER)' for j in range(64))} >= 32 AS {op}" for op, (_, text) in COMPARISONS.items())
+    found["pac_filter_family"] = f"SELECT c_nationkey, {votes} FROM (SELECT c_nationkey, count(*) AS n, " + ", ".join(f"{c2(world('c_custkey', j))} AS c{j}" for j in range(64)) + " FROM customer GROUP BY ALL)"
+    found["pac_renamed_copy"] = f"SELECT o_orderstatus AS s, {s2('o_totalprice', O)} AS t, {c2(O)} AS n FROM orders GROUP BY ALL"
+    U = world("user_id")
+    found["stream_window_counters"] = f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, CASE WHEN bit_or(CASE WHEN value IS NOT NULL THEN xor(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 1, 8) AS BIGINT), {QH >> 32}) END) + bit_or(CASE WHEN value IS NOT NULL THEN xor(CAST('0x' || substr(md5(CAST(user_id AS VARCHAR)), 9, 8) AS BIGINT), {QH & 0xFFFFFFFF}) END) > 0 THEN {s2('value', U)} END AS t FROM events GROUP BY 1, 2"
+    above_n = " + ".join(f"CAST({c2(world('o_custkey', j))} > 1000 AS INTEGER)" for j in range(64))
+    found["pac_derived_filter"] = f"SELECT o_orderpriority AS p, o_orderstatus AS s, CAST({c2(O)} AS DOUBLE) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY ALL HAVING {above_n} >= 32"
+    found["pac_derived_aggregate"] = f"SELECT s, CAST(sum(n) AS DOUBLE) AS n, max(t) AS t, count(*) AS k FROM (SELECT o_orderpriority AS p, o_orderstatus AS s, round(CAST(CAST({s2('o_totalprice', O)} AS FLOAT) AS DOUBLE), 0) AS t, {c2(O)} AS n FROM orders GROUP BY ALL) GROUP BY s"
     found["pac_utility_diff"] = f"SELECT o_orderpriority, round(100 * abs(e - p) / greatest(1e-5, abs(e)), 4) AS t FROM (SELECT o_orderpriority, sum(o_totalprice) AS e, 2 * sum(CASE WHEN {O} THEN o_totalprice END) AS p FROM orders GROUP BY ALL)"
     return found
 
