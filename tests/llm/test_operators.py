@@ -245,7 +245,7 @@ def contamination_oracle(rows, items, size=10):
     for item, t in items:
         w = postings.words_of((t or "").encode())
         for a, n in postings.item_windows(w, size):
-            windows.setdefault(tuple(w[a : a + n]), set()).add(str(item))
+            windows.setdefault(tuple(w[a : a + n]), set()).add(None if item is None else str(item))
     out = []
     for i, t in rows:
         w = postings.words_of((t or "").encode())
@@ -255,19 +255,24 @@ def contamination_oracle(rows, items, size=10):
                 if tuple(w[k : k + len(win)]) == win:
                     hit |= set(range(k, k + len(win)))
                     found |= names
-        out.append((i, len(w), len(hit), sorted(found)))
+        out.append((i, len(w), len(hit), sorted(found, key=lambda x: (x is None, x or ""))))
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_contamination(spark, docs, texts, empty, block_bytes):
-    items = [(1, " ".join(PASSAGE.split()[5:40])), (2, "UPPER and"), (30, None), (4, ""), (5, texts[2][:200]), (5, "x"), (6, "never occurs here at all")]
+@pytest.mark.parametrize("block_bytes,most_terms,segment", [(1 << 20, 1 << 20, 1 << 20), (200, 1 << 20, 300), (1, 2, 1 << 20)])
+def test_contamination(spark, docs, texts, empty, monkeypatch, block_bytes, most_terms, segment):
+    """Any number of blocks, stored terms and segments gives the same rows, with shared and null ids and items without one."""
+    monkeypatch.setattr(postings, "SEGMENT_WORDS", segment)
+    monkeypatch.setattr(postings, "CANDIDATES", 5)
+    items = [(1, " ".join(PASSAGE.split()[5:40])), (2, "UPPER and"), (30, None), (4, ""), (5, texts[2][:200]), (5, "x"), (6, "never occurs here at all"), (None, texts[4][:150]), (None, "lower"), (7, "a a a a a a a a a a a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     short = [t if t is None or len(t) < 5000 else t[:5000] for t in texts]
-    rows = spark.createDataFrame(list(enumerate(short)), "doc_id long, text string").repartition(3)
-    got = postings.decontaminate(rows, bench, block_bytes=block_bytes).withColumn("hit", postings.covered()).collect()
-    assert sorted((r.id, r.n_words, r.hit, list(r["items"])) for r in got) == contamination_oracle(list(enumerate(short)), items)
-    assert postings.decontaminate(empty, bench).count() == 0
+    every = [*enumerate(short), (3, PASSAGE), (3, None), (None, PASSAGE), (None, texts[2]), (None, "clean"), (3, "a " * 30)]
+    rows = spark.createDataFrame([(i, t, 1, 2, "z") for i, t in every], "doc_id long, text string, id long, part long, items string").repartition(3)
+    got = postings.decontaminate(rows, bench, block_bytes=block_bytes, most_terms=most_terms).withColumn("hit", postings.covered()).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *map(str, r[1:]))
+    assert sorted([(r.id, r.n_words, r.hit, list(r["items"])) for r in got], key=key) == sorted(contamination_oracle(every, items), key=key)
+    assert postings.decontaminate(empty, bench, block_bytes=block_bytes).count() == 0
     assert postings.decontaminate(rows, bench.limit(0)).withColumn("hit", postings.covered()).filter("hit > 0").count() == 0
 
 
