@@ -198,11 +198,26 @@ def test_near_components_in_many_blocks(spark, monkeypatch, empty):
         for _ in range(int(rng.integers(0, 7))):
             w[int(rng.integers(len(w)))] = f"w{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
-    got = {r.id: (r.n_shingles, r.component_id) for r in near_text.near_components(spark.createDataFrame(rows, "doc_id long, text string"), words=3, numerator=85).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in near_text.near_components(df, words=3, numerator=85).collect()}
     assert got == near_oracle(rows, 3, 85)
+    monkeypatch.setattr(near_text, "GROUP", 1)  # the bound on whole groups changes no answer
+    assert got == {r.id: (r.n_shingles, r.component_id) for r in near_text.near_components(df, words=3, numerator=85).collect()}
     assert near_text.near_components(empty).count() == 0
 
 
+def test_near_components_of_shared_ids(spark):
+    """Rows of one id are one node with the links of all its texts; null ids and texts without words stand alone."""
+    a, b = prose(301, 80), prose(302, 80)
+    near = lambda t, k: " ".join([*t.split()[:-1], f"end{k}"])
+    rows = [(5, a), (5, b), (7, near(a, 1)), (9, near(b, 2)), (5, a), (11, prose(303, 80)), (None, a), (None, near(b, 3)), (5, None), (12, ""), (12, " "), (13, prose(303, 80)), (3, near(b, 4)), (14, a.upper())]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, id long, node long, th long").repartition(4)
+    got = sorted((r.id, r.component_id, r.kept) for r in near_text.near_components(df, words=3, numerator=85).filter("id IS NOT NULL AND n_shingles > 0").collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 3, False), (5, 3, False), (7, 3, False), (9, 3, False), (11, 11, True), (13, 11, False), (14, 3, False)]
+    rest = sorted((r.n_shingles > 0, r.id or 0, r.component_id or 0, r.kept) for r in near_text.near_components(df, words=3, numerator=85).filter("id IS NULL OR n_shingles = 0").collect())
+    assert rest == [(False, 5, 5, True), (False, 12, 12, True), (False, 12, 12, True), (True, 0, 0, False), (True, 0, 0, False)]
+
+
 def test_sketch_estimates(spark):
     common = np.arange(1, 2001, dtype=np.uint64)
     sets = [near_text.mix64(common), near_text.mix64(np.arange(150, 2151, dtype=np.uint64)), near_text.mix64(np.arange(5000, 7000, dtype=np.uint64))]

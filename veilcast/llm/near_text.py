@@ -7,11 +7,12 @@ which the sets differ, so its population count estimates a high similarity close
 only if that count is at most what a pair at the threshold exceeds with a chance below 1e-9. What is
 left is confirmed on the full sets.
 
-Documents of equal sets are one class. Surviving proposals are only used to split classes in candidate groups, so a
-bucket of many classes gives a spanning forest of them. Every link lies within a group. The whole texts of a group's
-classes are then brought together once, dealt over block pairs where they are many or long, and links are confirmed on
-the full sets of all pairs that the sketches let through; a task gives back a spanning forest of its links. A
-group of more than GROUP classes is taken apart again into its buckets, as proposals chain.
+Documents of equal sets are one class, a node with a number of its own; classes that share a document id are linked by it.
+Surviving proposals are only used to split nodes in candidate groups, so a bucket of many nodes gives a spanning forest of them.
+Every link lies within a group. The whole texts of a group's nodes are then brought together and links are confirmed on the full
+sets of all pairs that share a bucket and that the sketches let through. A group of up to GROUP nodes comes whole, dealt over block
+pairs where it is large or long, so that a text moves once; a group of more is taken apart again into its buckets, as proposals
+chain. Both ways look at the same pairs. A task gives back a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -106,7 +107,7 @@ def count_limit(similarity: float, sigmas: float = 6.2) -> int:
 
 
 def signatures(df: DataFrame, words: int) -> DataFrame:
-    """(id, n, k1, k2, bands, sketch) of each row of df(id, text); the last four are null for empty sets."""
+    """(id, th, n, k1, k2, bands, sketch) of each row of df(id, text, th); the last four are null for empty sets."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -126,14 +127,14 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
                 m = len(sets)
                 yield pa.record_batch(
                     [
-                        part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(keys[k][0]) if k in keys else None for k in range(m)], pa.int64()),
+                        part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(keys[k][0]) if k in keys else None for k in range(m)], pa.int64()),
                         pa.array([int(keys[k][1]) if k in keys else None for k in range(m)], pa.int64()),
                         pa.array([bands.get(k) for k in range(m)], pa.list_(pa.int64())), pa.array([sketch[k].tobytes() if k in sketch else None for k in range(m)], pa.binary()),
                     ],
-                    names=["id", "n", "k1", "k2", "bands", "sketch"],
+                    names=["id", "th", "n", "k1", "k2", "bands", "sketch"],
                 )
 
-    return df.mapInArrow(sign, "id long, n long, k1 long, k2 long, bands array<long>, sketch binary")
+    return df.mapInArrow(sign, "id long, th long, n long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
@@ -220,10 +221,11 @@ def confirmed(sets: list[np.ndarray], r: np.ndarray, c: np.ndarray, numerator: i
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], words: int, limit: int, numerator: int) -> Iterator[pa.RecordBatch]:
-    """Rows (key, id, side, sketch, text) sorted by key -> spanning forests of the links found."""
+    """Rows (key, node, side, sketch, text, bands) sorted by key -> spanning forests of the links found."""
     shingle = worker_state(("shingles", words), lambda: Shingler(words))
     for table in groups_of(batches):
         key, ids, side, x, texts = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_numpy(), _sketches(table.column(3)), table.column(4)
+        bands = np.array(table.column(5).to_pylist(), np.int64)
         bounds = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         out_a, out_b = [], []
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -234,6 +236,8 @@ def _confirm(batches: Iterator[pa.RecordBatch], words: int, limit: int, numerato
             if s.any():  # two blocks meet; pairs inside a block are another task's
                 good &= s[:, None] != s[None, :]
             r, c = np.nonzero(good)
+            meet = np.concatenate([np.zeros(0, bool), *((bands[lo + r[k : k + 65536]] == bands[lo + c[k : k + 65536]]).any(axis=1) for k in range(0, len(r), 65536))])
+            r, c = r[meet], c[meet]
             if len(r):
                 used, at = np.unique(np.concatenate([r, c]), return_inverse=True)
                 sets = [shingle(texts[lo + k].as_py()) for k in used.tolist()]
@@ -250,46 +254,56 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     100 * intersection >= numerator * union of their shingle sets, confirmed on whole sets.
 
     Words are runs without ASCII white space, A-Z lower-cased. A text of fewer words than a shingle has
-    its whole sequence as one; null, empty and blank texts have no shingles and link with nothing. Rows
-    that share an id are one node of the link graph (a row each in the result); a null id is a row
-    that links with nothing, with a null component. An empty table gives an empty one; other
-    columns are ignored."""
+    its whole sequence as one; null, empty and blank texts have no shingles and link with nothing, so their
+    component is their own id. Rows with shingles that share an id are one node of the link graph, with the links of all of
+    their texts (a row each in the result); a null id is a row that links with nothing, with a null component. An empty
+    table gives an empty one; other columns are ignored."""
     require(df, id_col, text_col)
     prepare(df.sparkSession)
-    spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     limit = count_limit(numerator / 100)
     signed, _ = stage_table(signatures(docs, words))
     real = signed.filter("n > 0 AND id IS NOT NULL")
-    classes, _ = stage_table(real.groupBy("k1", "k2").agg(F.min(F.struct("id", "bands", "sketch")).alias("m")).select("k1", "k2", "m.*"))
-    keys = classes.select("id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("lead")).filter("m > 1")
+    # a class is one set; (id, th) finds one of its texts again. Its number is fixed by the write
+    found = real.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "bands", "sketch")).alias("m"))
+    classes, _ = stage_table(found.select(F.monotonically_increasing_id().alias("node"), "k1", "k2", "m.*"))
+    nodes = classes.select("k1", "k2", "node")
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("lead")).filter("m > 1")
     members, _ = stage_table(keys.join(sizes, "key"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(SEED)), blocks).cast("int")
-    first = members.join(classes.select("id", "sketch"), "id").select(F.when(F.col("m") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", mine)).alias("key"), "id", "sketch")
-    wave = first.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _first_wave(x, limit), "a long, b long")
+    mine = F.pmod(F.xxhash64("node", F.lit(SEED)), blocks).cast("int")
+    first = members.join(classes.select("node", "sketch"), "node").select(F.when(F.col("m") <= BLOCK, F.col("key")).otherwise(F.xxhash64("key", mine)).alias("key"), "node", "sketch")
+    wave = first.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _first_wave(x, limit), "a long, b long")
     # a bucket of several blocks is one group as a whole: candidates may lie across its blocks
-    wide = members.filter(F.col("m") > BLOCK).select(F.col("lead").alias("a"), F.col("id").alias("b"))
+    wide = members.filter(F.col("m") > BLOCK).select(F.col("lead").alias("a"), F.col("node").alias("b"))
     grouped = components(wave.unionByName(wide))
-    group, _ = stage_table(grouped.unionByName(grouped.select(F.col("component").alias("id"), "component").distinct()))
-    texts = docs.join(group, "id").join(classes.select("id", "sketch"), "id").dropDuplicates(["id"])
+    group, _ = stage_table(grouped.unionByName(grouped.select(F.col("component").alias("id"), "component").distinct()).withColumnRenamed("id", "node"))
+    wanted = classes.select("node", "id", "th", "bands", "sketch").join(group, "node")
+    texts = docs.join(wanted, ["id", "th"]).dropDuplicates(["node"]).select("node", "component", "bands", "sketch", "text")
     texts, _ = stage_table(texts)
     size = texts.groupBy("component").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     small = size.filter(F.col("n") <= GROUP).select("component", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     large = size.filter(F.col("n") > GROUP).select("component")
-    whole = texts.join(small, "component").select(F.col("component").alias("key"), "id", "sketch", "text", "blocks")
-    apart = members.join(texts.join(large, "component", "left_semi"), "id")
-    apart = apart.select("key", "id", "sketch", "text", "m", F.octet_length("text").alias("bytes"))
+    whole = texts.join(small, "component").select(F.col("component").alias("key"), "node", "bands", "sketch", "text", "blocks")
+    apart = members.join(texts.join(large, "component", "left_semi"), "node")
+    apart = apart.select("key", "node", "bands", "sketch", "text", "m", F.octet_length("text").alias("bytes"))
     heavy = apart.groupBy("key").agg(F.sum("bytes").alias("total"))
-    apart = apart.join(heavy, "key").select("key", "id", "sketch", "text", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = whole.unionByName(apart).withColumn("mine", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.join(heavy, "key").select("key", "node", "bands", "sketch", "text", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = whole.unionByName(apart).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    placed = dealt.select(F.xxhash64("key", low, high).alias("key"), "id", side.cast("int").alias("side"), "sketch", "text")
-    links = placed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(lambda x: _confirm(x, words, limit, numerator), "a long, b long")
-    labels = components(links)
-    named = classes.select("k1", "k2", "id").join(labels, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"))
+    placed = dealt.select(F.xxhash64("key", low, high).alias("key"), "node", side.cast("int").alias("side"), "sketch", "text", "bands")
+    links = placed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda x: _confirm(x, words, limit, numerator), "a long, b long")
+    # several texts under one id: their classes are linked by it
+    several = real.groupBy("id").agg(F.min("k1").alias("x"), F.max("k1").alias("y"), F.min("k2").alias("z"), F.max("k2").alias("w")).filter("x <> y OR z <> w").select("id")
+    shared = real.join(several, "id", "left_semi").join(nodes, ["k1", "k2"]).select("id", "node")
+    same = shared.join(shared.groupBy("id").agg(F.min("node").alias("a")), "id").select("a", F.col("node").alias("b"))
+    labels, _ = stage_table(components(links.unionByName(same)))
+    marked = classes.select("k1", "k2", "node", "id").join(labels.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # components are named by the smallest id, and most classes are one by themselves
+    least = marked.join(labels.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("id").alias("least"))
+    named = marked.join(least, "component", "left").select("k1", "k2", F.coalesce("least", "id").alias("component"))
     out = signed.select("id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
