@@ -149,6 +149,51 @@ def test_records_round_trip(spark, docs, texts, empty, library):
     assert records.read_records(spark, out, records.write_records(empty, out)).count() == 0
 
 
+def test_records_of_odd_ids_in_many_chunks(spark, docs, library):
+    """Null and repeated ids are all written and read back, in order, whatever the stretches read at a time."""
+    odd, out = with_odd_ids(spark, docs), shared_dir(spark)
+    index = records.write_records(odd, out)
+    whole, cut = (sorted(records.read_records(spark, out, index, n).collect()) for n in (1 << 30, 500))
+    assert whole == cut and len(cut) == odd.count()
+    assert [r.id for r in cut] == sorted((r.doc_id for r in odd.collect()), key=lambda i: (i is not None, i or 0))
+    first = {}
+    for r in cut:
+        assert r.first == first.get(r.part, 0)
+        first[r.part] = r.first + r.n_tokens
+    want = sorted(zlib.crc32(np.array([*library.encode(r.text or "", add_special_tokens=False).ids, records.END_ID], "<u4").tobytes()) for r in odd.collect())
+    assert sorted(r.ids_crc32 for r in cut) == want
+    assert records.read_records(spark, out, index, 500).rdd.getNumPartitions() > 10
+
+
+def test_token_queries_against_the_library(spark, tmp_path, library):
+    """op1's, op3's and op4's columns on a small table."""
+    rows = [(3, "one two  three"), (1, None), (2, "naïve 漢字 " * 300), (9, ""), (5, "x" * 5000), (7, "one two  three"), (8, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t in rows}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.op3_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {i: (len((t or "").encode()), len(ids[i]), len(ids[i]) > 512) for i, t in rows}
+    at, want = 0, {}
+    for i in sorted(ids):
+        own = [*ids[i], 2]
+        want[i] = (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        at += len(own)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in records.op4_token_records(spark, str(tmp_path)).collect()} == want
+    shards = sharding.op1_hypergeometric_shards(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in shards} == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows}
+    assert sorted((r.shard, r.slot) for r in shards) == [(s, 0) for s in range(7)]
+
+
+def test_long_units_are_not_kept(library):
+    """Texts without spaces leave a worker's caches as they were."""
+    encoder = tokens.UnitEncoder(tokens.tokenizer_path(tokens.VOCABULARY), len)
+    assert encoder.twin is not None
+    rng = np.random.default_rng(3)
+    blocks = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 20_000))) for _ in range(20)] + ["".join(map(chr, rng.integers(97, 123, 20_000))) for _ in range(20)] + ["a " + "b" * 70 + " c"]
+    got = [sum(v) for v in encoder.batch(blocks)]
+    assert got == [len(e.ids) for e in library.encode_batch(blocks, add_special_tokens=False)]
+    assert sum(len(u) for u in encoder.young) + sum(len(u) for u in encoder.old) < 100
+
+
 def test_damage_is_found():
     blob = bytearray(b"".join(records.frames([b"a" * 40, b"b" * 40])))
     assert len(records.unframe(bytes(blob))[0]) == 2

@@ -4,7 +4,8 @@ A file is a run of frames: length (8 bytes, little-endian), masked CRC-32C of th
 masked CRC-32C of the payload. A payload is one document: header (`<qBBxxI`: id, whether the id is
 there, bytes in a token id, token count), then the token ids. Documents are range-partitioned and sorted by id, so
 that the files in order hold ascending ids. The index is a table of its own: file, part, ordinal, id,
-offset, length and count for each record; a reader that shuffles draws rows of the index and seeks.
+offset, length and count for each record; a reader that shuffles draws rows of the index and seeks, and one that
+takes all deals out stretches of CHUNK_BYTES.
 
 A task writes under a name of its own attempt and lists the file in the index only by committing its
 index rows, so lost or repeated tasks leave no listed half-written file.
@@ -12,6 +13,7 @@ index rows, so lost or repeated tasks leave no listed half-written file.
 
 from __future__ import annotations
 
+import math
 import struct
 import uuid
 import zlib
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import prepare, require, shared_dir
-from .tokens import VOCABULARY, UnitEncoder, tokenizer_path, worker_encoder
+from .common import prepare, require, shared_dir, worker_state
+from .tokens import VOCABULARY, UnitEncoder, tokenizer_path
 
 END_ID = 2
 CACHE_UNITS = 600_000  # a cache generation of a worker; two full ones took about 230 MB
+CHUNK_BYTES = 32 << 20  # of records that a reading task takes at a time; a longer record comes alone
 HEADER = "<qBBxxI"
 HEADER_BYTES = struct.calcsize(HEADER)
 POLYNOMIAL = 0x82F63B78  # CRC-32C, reflected
@@ -128,15 +131,15 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     index to `out`/index; returns the index, reread.
 
     Null and empty texts are records of the end id alone. A null id sorts first and is read back as null;
-    ids that repeat are all written, ordered by their text. An empty table gives an empty index. Other
-    columns are ignored."""
+    ids that repeat are all written, ordered by a hash of their text, so rows of one id may fill several files. An empty
+    table gives an empty index. Other columns are ignored."""
     require(df, id_col, text_col)
     prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     base, root = _filesystem(out)
     base.create_dir(f"{root}/data")
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    ordered = chosen.repartitionByRange("id").sortWithinPartitions("id", "text")
+    ordered = chosen.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h").drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -154,7 +157,7 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
             encoder.width = b
             return encoder
 
-        encoder = worker_encoder(("ids", path), make)
+        encoder = worker_state(("ids", path), make)
         end = b"" if end_id is None else end_id.to_bytes(encoder.width, "little")
         where, at, ordinal, stream = None, 0, 0, None
         for batch in batches:
@@ -185,48 +188,49 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
     return df.sparkSession.read.schema(INDEX_SCHEMA).parquet(f"{out}/index")
 
 
-def read_records(spark: SparkSession, out: str, index: DataFrame) -> DataFrame:
-    """(part, ordinal, id, first long: ids before it in its file, n_tokens, ids array<int>-free digest ids_crc32):
-    every record that the index lists, read from its file with both checksums verified."""
-    files = index.groupBy("part", "file").agg(F.count("*").alias("records"), F.sum("length").alias("bytes"))
-    files = files.repartition("file")
+def read_records(spark: SparkSession, out: str, index: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
+    """(part, ordinal, id, first, n_tokens, ids_crc32, all long but part): every record that the index lists, read from its
+    file with both checksums verified. `first` counts the ids before a record in its file, ids_crc32 is of the
+    ids as little-endian unsigned 32-bit integers.
+
+    Files are dealt out in stretches of about chunk_bytes, as the index cuts them, over as many tasks as there are stretches."""
+    chunk_bytes = chunk_bytes or CHUNK_BYTES
+    by_chunk = index.groupBy("part", "file", F.floor(F.col("offset") / chunk_bytes).alias("chunk"))
+    stretch = by_chunk.agg(F.count("*").alias("records"), F.min("ordinal").alias("ordinal"), F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("length")).alias("stop"), F.sum("n_tokens").alias("n"))
+    before = F.sum("n").over(W.partitionBy("part", "file").orderBy("chunk")) - F.col("n")
+    chunks = stretch.select("part", "file", "records", "ordinal", "begin", "stop", "n", before.alias("first"))
+    total = index.agg(F.sum("length")).first()[0] or 0
+    dealt = chunks.repartition(max(1, math.ceil(total / chunk_bytes)), "file", "begin")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, file, records, size in zip(*[c.to_pylist() for c in batch.columns]):
+            for part, file, records, ordinal, begin, stop, n_ids, first in zip(*[c.to_pylist() for c in batch.columns]):
                 where, folder = _filesystem(f"{out}/data")
-                rest, seen, first = b"", 0, 0
-                with where.open_input_stream(f"{folder}/{file}") as stream:
-                    left = size
-                    while left:
-                        blob = stream.read(min(left, 8 << 20))
-                        if not blob:
-                            raise ValueError(f"{file} ends early")
-                        left -= len(blob)
-                        rest += blob
-                        found, used = unframe(rest)
-                        rest = rest[used:]
-                        ids, starts, n, sums = [], [], [], []
-                        for _, p in found:
-                            i, has, width, count = struct.unpack_from(HEADER, p)
-                            tokens = np.frombuffer(p, dtype=f"<u{width}", offset=HEADER_BYTES)
-                            if len(tokens) != count:
-                                raise ValueError(f"{file} holds a record of a wrong count")
-                            ids.append(i if has else None)
-                            starts.append(first)
-                            n.append(count)
-                            sums.append(zlib.crc32(tokens.astype("<u4").tobytes()))
-                            first += count
-                        m = len(found)
-                        yield pa.record_batch(
-                            [pa.array([part] * m, pa.int32()), pa.array(range(seen, seen + m), pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())],
-                            names=["part", "ordinal", "id", "first", "n_tokens", "ids_crc32"],
-                        )
-                        seen += m
-                if seen != records or rest:
-                    raise ValueError(f"{file} has {seen} records; the index lists {records}")
-
-    return files.mapInArrow(read, "part int, ordinal long, id long, first long, n_tokens long, ids_crc32 long")
+                with where.open_input_file(f"{folder}/{file}") as f:
+                    blob = f.read_at(stop - begin, begin)
+                found, used = unframe(blob)
+                if used != stop - begin or len(found) != records:
+                    raise ValueError(f"{file} has {len(found)} records from {begin} on; the index lists {records}")
+                ids, starts, n, sums, at = [], [], [], [], first
+                for _, p in found:
+                    i, has, width, count = struct.unpack_from(HEADER, p)
+                    tokens = np.frombuffer(p, dtype=f"<u{width}", offset=HEADER_BYTES)
+                    if len(tokens) != count:
+                        raise ValueError(f"{file} holds a record of a wrong count")
+                    ids.append(i if has else None)
+                    starts.append(at)
+                    n.append(count)
+                    sums.append(zlib.crc32(tokens.astype("<u4").tobytes()))
+                    at += count
+                if at != first + n_ids:
+                    raise ValueError(f"{file} holds {at - first} ids from {begin} on; the index lists {n_ids}")
+                m = len(found)
+                yield pa.record_batch(
+                    [pa.array([part] * m, pa.int32()), pa.array(range(ordinal, ordinal + m), pa.int64()), pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(n, pa.int64()), pa.array(sums, pa.int64())],
+                    names=["part", "ordinal", "id", "first", "n_tokens", "ids_crc32"],
+                )
+
+    return dealt.mapInArrow(read, "part int, ordinal long, id long, first long, n_tokens long, ids_crc32 long")
 
 
 def read_at(out: str, rows: list[tuple[str, int, int]]) -> list[tuple[int | None, np.ndarray]]:

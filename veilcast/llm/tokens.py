@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,19 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, require
+from .common import prepare, require, worker_state
 
 VOCABULARY = "byte_bpe_50k.json"
 FREQUENT = 20_000
 TRACKED = 40_000
 SKETCH_GROUPS = 16
 CACHE_UNITS = 300_000
+LONGEST_UNIT = 64  # characters; longer units are rare words or texts without spaces, and never kept
 MAX_TOKENS = 512
 
 #: White space on whose class the libraries could differ, or that needs care with the cuts.
 ODD = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 UNIT = re.compile(r"\s*\S+|\s+")
-NEWLINE_ID = 198
 #: What may not be in a unit that the rank-based encoder takes: line breaks, and characters beyond the
 #: long-settled scripts, whose Unicode class libraries may know differently.
 FAR = re.compile("[\r\n\u0590-\U0010ffff]")
@@ -43,29 +44,44 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, str]:
+    """The character that byte-level vocabularies write for each byte: itself if it is printable, else the next one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def ranked_twin(path: str):
-    """An encoder over the same vocabulary as byte ranks, several times as fast on units not seen yet.
+    """An encoder over the same vocabulary as byte ranks, several times as fast on units not seen yet, or None.
 
-    It is used only if the merges prove it equal: pair k of the list must make the token of id 256 + k,
-    as then "lowest rank first" and "first pair of the list first" are the same rule. Else None."""
+    It is used only if the file proves it equal: the model is plain BPE on the bytes of the pattern's pre-tokens; every rank
+    is the id of the same bytes in the file's vocabulary; and pair k of the merge list makes the token of id 256 + k, as
+    then "lowest rank first" and "first pair of the list first" are the same rule."""
     import base64
     import json
 
+    import public_tokenizers
     import tiktoken
 
     beside = path[: -len(".json")] + ".tiktoken"
-    if not os.path.exists(beside):
+    if not path.endswith(".json") or not os.path.exists(beside):
         return None
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    vocab, merges = model["vocab"], model["merges"]
-    pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in merges]
+        file = json.load(f)
+    model, before = file["model"], file.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    # the library's own byte-level pre-tokenizer splits by this very pattern
+    if not plain or file.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    vocab, letters = model["vocab"], byte_letters()
+    pairs = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
     if any(vocab[p] != 256 + k for k, p in enumerate(pairs)):
         return None
     with open(beside, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    import public_tokenizers
-
+    added = {t["content"] for t in file.get("added_tokens", [])}
+    if {"".join(letters[c] for c in raw): k for raw, k in ranks.items()} != {t: k for t, k in vocab.items() if t not in added}:
+        return None
     return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -74,17 +90,21 @@ class UnitEncoder:
     does so for many runs of one array, given their starts and ends.
 
     `known` maps units that follow a space (without that space) to kept values. Two generations of
-    cache bound the memory: a full young one becomes the old one, and hits in the old one move up."""
+    cache bound the memory: a full young one becomes the old one, and hits in the old one move up. Units of more than
+    LONGEST_UNIT characters are encoded each time, so `cache_units` bounds bytes too."""
 
     def __init__(self, path: str, wrap, known: dict | None = None, cache_units: int = CACHE_UNITS, wrap_runs=None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()  # whatever the file sets
+        self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.wrap, self.known, self.limit = wrap, known or {}, cache_units
         self.wrap_runs = wrap_runs or (lambda ids, a, b: map(int.__sub__, b, a))
-        self.twin = ranked_twin(path) if os.path.basename(path) == VOCABULARY else None
+        self.twin = ranked_twin(path)
+        self.newline = self.twin.encode("\n")[0] if self.twin else None
         self.young: dict = dict(self.known)
         self.old: dict = {}
 
@@ -102,7 +122,7 @@ class UnitEncoder:
         for at in range(0, len(plain), 4096):
             block = plain[at : at + 4096]
             ids = self.twin.encode_to_numpy("\n " + "\n ".join(block), disallowed_special=())
-            cuts = np.flatnonzero(ids == NEWLINE_ID)
+            cuts = np.flatnonzero(ids == self.newline)
             if len(cuts) != len(block):
                 alone += block
                 continue
@@ -112,21 +132,39 @@ class UnitEncoder:
             for u, e in zip(alone, self.library.encode_batch_fast([" " + u for u in alone], add_special_tokens=False)):
                 self.young[u] = self.wrap(np.array(e.ids, dtype=np.int64))
 
+    def wholes(self, texts: list[str]) -> list:
+        """The kept values of whole texts, encoded by the library in one call."""
+        return [self.wrap(np.array(e.ids, dtype=np.int64)) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
     def batch(self, texts: list[str]) -> list[list]:
         """For each text the kept values of its units, in order."""
-        plans = []
+        plans, apart = [], []  # texts and units that the library encodes as they are, once for this batch
+
+        def late(text: str) -> int:
+            apart.append(text)
+            return len(apart) - 1
+
         for text in texts:
             if not text:
                 plans.append(None)
             elif any(s in text for s in self.specials) or ODD.search(text):
-                plans.append(self.whole(text))
-            elif "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
-                first, *units = UNIT.findall(text)
-                odd = {k: u for k, u in enumerate(units) if u[0] != " " or u[1:2].isspace() or len(u) == 1}
-                plans.append((first, [" " if k in odd else u[1:] for k, u in enumerate(units)], odd))
+                plans.append(late(text))
             else:
-                first, *units = text.split(" ")
-                plans.append((first, units, None))
+                odd: dict[int, int] = {}
+                if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
+                    first, *units = UNIT.findall(text)
+                    for k, u in enumerate(units):
+                        if u[0] != " " or u[1:2].isspace() or len(u) == 1 or len(u) > LONGEST_UNIT:
+                            odd[k], units[k] = late(u), " "
+                        else:
+                            units[k] = u[1:]
+                else:
+                    first, *units = text.split(" ")
+                    if units and max(map(len, units)) > LONGEST_UNIT:
+                        for k, u in enumerate(units):
+                            if len(u) > LONGEST_UNIT:
+                                odd[k], units[k] = late(" " + u), " "
+                plans.append((late(first) if first else None, units, odd))
         young = self.young
         need = {u for u in set().union(*[p[1] for p in plans if type(p) is tuple]) if u not in young}
         if self.old and need:
@@ -138,34 +176,23 @@ class UnitEncoder:
             self._learn(need)
             if self.young is not spare:  # a new generation began; this batch may need what the last one knew
                 self.young.update({u: spare[u] for p in plans if type(p) is tuple for u in p[1] if u in spare})
-        get, out = self.young.__getitem__, []
+        get, out, rest = self.young.__getitem__, [], self.wholes(apart)
         for plan in plans:
             if plan is None:
                 out.append([])
-            elif type(plan) is list:
-                out.append([self.wrap(np.array(plan, dtype=np.int64))])
+            elif type(plan) is int:
+                out.append([rest[plan]])
             else:
                 first, units, odd = plan
                 values = list(map(get, units))
-                for k in odd or ():
-                    values[k] = self.wrap(np.array(self.whole(odd[k]), dtype=np.int64))
-                if first:
-                    values.insert(0, self.wrap(np.array(self.whole(first), dtype=np.int64)))
+                for k, at in odd.items():
+                    values[k] = rest[at]
+                if first is not None:
+                    values.insert(0, rest[first])
                 out.append(values)
         return out
 
 
-_WORKER: dict = {}
-
-
-def worker_encoder(key: tuple, make) -> UnitEncoder:
-    """One encoder for each Python worker and setting, kept between tasks."""
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = make()
-    return _WORKER[key]
-
-
 def frequent_units(df: DataFrame, text: str = "text", k: int = FREQUENT) -> list[str]:
     """The k most frequent units of all texts, approximately: each task sketches its own texts in fixed
     memory (approx_top_k), sketches are merged in SKETCH_GROUPS groups and then in one. k bounds what
@@ -190,12 +217,14 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     maker = UnitEncoder(path, len)
     table = {}
     if units := frequent_units(df, text_col, frequent):
+        units = [u for u in units if len(u) <= LONGEST_UNIT]
         maker._learn(set(units))
         table = {u: maker.young.get(u, maker.old.get(u)) for u in units}
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(table)  # `frequent` short units at most
+    key = ("count", path, uuid.uuid4().hex)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(("count", path, shared.id if hasattr(shared, "id") else 0), lambda: UnitEncoder(path, len, shared.value))
+        encoder = worker_state(key, lambda: UnitEncoder(path, len, shared.value))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             n = []
