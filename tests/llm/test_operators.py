@@ -1,7 +1,9 @@
 """Each operator against a plain version on small rows: nulls, empty and long texts, ties, repeats, empty tables, further columns."""
 
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -364,6 +366,53 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(scorer.forward([language.START + w])[0], np.log(brute(language.START + w))), w
 
 
+def test_long_runs_are_scored_whole():
+    """Scaling changes nothing, and no run is cut."""
+    pieces = language.pieces_of(language.tokenizer_path(language.VOCABULARY))
+    rng = np.random.default_rng(1)
+    table = rng.random((len(pieces), 3)) ** 8
+    table[[k for k, p in enumerate(pieces) if not p]] = 0
+    scorer = language.Scorer(pieces, table / table.sum(axis=0))
+    assert max(scorer.lengths) == max(len(p) for p in pieces if p and language.LETTERS.fullmatch(p.removeprefix(language.START) or "a"))
+    words = ["".join(rng.choice(list("etaoinshr"), n)) for n in (40, 40, 55, 64, 70)]
+
+    def exact(word):
+        known = {p: k for k, p in enumerate(pieces) if p}
+        a = [[Fraction(1)] * 3]
+        for i in range(1, len(word) + 1):
+            row = [x * Fraction(language.UNKNOWN) for x in a[-1]]
+            for length in scorer.lengths:
+                if length <= i and (k := known.get(word[i - length : i])) is not None:
+                    row = [x + a[i - length][j] * Fraction(scorer.rows[k, j]) for j, x in enumerate(row)]
+            a.append(row)
+        return [math.log(x.numerator) - math.log(x.denominator) for x in a[-1]]
+
+    got = scorer.forward_scaled([language.START + w for w in words])
+    for w, row in zip(words, got):
+        assert np.allclose(row, exact(language.START + w), rtol=1e-9), w
+    short = [w[:30] for w in words]
+    assert np.allclose(scorer.forward_scaled([language.START + w for w in short]), scorer.forward([language.START + w for w in short]), rtol=1e-9)
+    texts = [" ".join([words[0], "one", words[3]]), words[4], "one two", None, "x" * 5000]
+    both = scorer.batch(texts)
+    assert np.allclose(both[0, :-1], got[0] + scorer.forward([language.START + "one"])[0] + got[3]) and np.allclose(both[1, :-1], got[4])
+    assert both[0, -1] == 107 and both[4, -1] == 5000 and np.isfinite(both).all()
+    assert all(len(w) <= language.SHORT for w in scorer.cache)
+
+
+def test_rare_languages_are_learned_from():
+    rates = language.sampling_rates({"en": 10**12, "fr": 50, "sw": 10**6}, 20_000)
+    assert rates["fr"] == 1 and abs(rates["sw"] * 10**6 - 500) < 1 and abs(rates["en"] * 10**12 - 20_000) < 1
+
+
+def test_language_query_columns(spark, tmp_path):
+    rows = [(k, f"the river and the stone of winter {k}", "en") for k in range(30)] + [(100 + k, f"la rivière et la pierre de l'hiver {k}", "fr") for k in range(30)] + [(200, None, "en"), (201, "12 34 !!", "fr"), (None, "the stone of winter", None)]
+    spark.createDataFrame([(*r, "z", 1) for r in rows], "doc_id long, text string, lang string, score string, held_out int").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in language.op7_language_id(spark, str(tmp_path)).collect()}
+    for i, t, lang in rows:
+        assert got[i].held_out == (i is None or zlib.crc32(str(i).encode()) % 3 == 1)
+        assert got[i].lang_pred == ("und" if i in (200, 201) else lang or "en") and 0 <= got[i].score <= 1
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
     model = language.fit(rows.filter(~language.held_out("doc_id")))

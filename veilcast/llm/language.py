@@ -4,12 +4,14 @@ Each language is a unigram model over the pieces of one fixed public vocabulary.
 the sum over all its segmentations into pieces, which the forward recursion gives in one pass:
 a[0] = 1, a[i] = sum over pieces ending at i of a[i - length] * p(piece). A text's score is the sum of
 its words' logarithms. Words that were scored stay in a cache of the Python worker, and new ones are
-scored many at a time with array operations: substrings become rolling hashes, looked up at once.
+scored many at a time with array operations: substrings become rolling hashes, looked up at once. Runs of any
+length are scored whole, over all segmentations; in long ones the recursion is scaled as it goes.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +28,10 @@ VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 20_000  # bound on the labelled rows that are learned from, about
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
-LONGEST = 16
-SEGMENT = 32  # letters; longer runs are scored in segments of so many
+SHORT = 32  # letters; longer runs are scored with scaling, and not kept
+FEWEST_DOCS = 500  # of a language, that are learned from even where it is rare
+SEED = 11
+LONG_CELLS = 1 << 18  # letters of long runs that are scored together
 LOWEST = 6.0  # deviations below the mean that a short text may have by chance
 SLACK = 0.3  # of the log-likelihood a letter, at least
 RARE = 1000
@@ -55,15 +59,19 @@ def held_out(id_col: str):
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities[piece, language]) from the labelled rows of df.
 
-    A random part of the rows, about `sample_docs` where there are more, is segmented by the vocabulary's
-    own tokenizer; piece counts are summed map-side and then by (language, piece), so the driver gets at
-    most languages x vocabulary numbers. Rows without text or language are left out."""
+    A random part of the rows, about `sample_docs` where there are more but at least about FEWEST_DOCS of each language that
+    has them, is segmented by the vocabulary's own tokenizer; piece counts are summed map-side and then by
+    (language, piece), so the driver gets at most languages x vocabulary numbers. Rows are drawn one by one, so a text that
+    many rows share counts as often as it should. Rows without text or language are left out."""
     prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    n = df.filter(F.col(lang_col).isNotNull()).count()
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    n = sum(sizes.values())
     if n > sample_docs:
-        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(sample_docs / n * (1 << 20)))
+        rates = sampling_rates(sizes, sample_docs)
+        rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
+        rows = rows.filter(F.rand(SEED) < rate)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -89,14 +97,19 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
     return langs, table / table.sum(axis=0, keepdims=True) if langs else table
 
 
-class Scorer:
-    """Log-likelihoods of letter runs for all languages, by the forward recursion over all segmentations.
+def sampling_rates(sizes: dict[str, int], sample_docs: int) -> dict[str, float]:
+    """The part of each language's rows to learn from."""
+    n = sum(sizes.values())
+    return {lang: min(1.0, max(sample_docs / n, FEWEST_DOCS / m)) for lang, m in sizes.items()}
+
 
-    A run of more than SEGMENT letters is scored in parts of so many, all of which count."""
+class Scorer:
+    """Log-likelihoods of letter runs for all languages, by the forward recursion over all segmentations into pieces of any
+    length. Runs of up to SHORT letters are kept."""
 
     def __init__(self, pieces: list[str], table: np.ndarray, cache_words: int = CACHE_WORDS):
         self.n_langs, self.limit = table.shape[1], cache_words
-        own = [(p, k) for k, p in enumerate(pieces) if p and len(p) <= LONGEST]
+        own = [(p, k) for k, p in enumerate(pieces) if p and LETTERS.fullmatch(p.removeprefix(START) or "a")]  # what runs can hold
         self.lengths = sorted({len(p) for p, _ in own})
         self.rows = np.concatenate([table, np.zeros((1, self.n_langs))])
         self.none = len(table)
@@ -136,7 +149,7 @@ class Scorer:
         return out
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """log p for words of one length, at most SEGMENT + 1 characters with the start mark."""
+        """log p for words of one length, at most SHORT + 1 characters with the start mark."""
         n = len(words[0])
         codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).reshape(len(words), n).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -160,6 +173,50 @@ class Scorer:
                         a[i][some] += a[i - length][some] * self.rows[at[some]]
         return np.log(a[n])
 
+    def forward_scaled(self, words: list[str]) -> np.ndarray:
+        """log p for words of any lengths: as forward, with what is carried on divided by its newest value now and then."""
+        sizes = np.array([len(w) for w in words])
+        n, w = int(sizes.max()), len(words)
+        codes = np.zeros((n, w), np.uint64)
+        for k, word in enumerate(words):
+            codes[: len(word), k] = np.frombuffer(word.encode("utf-32-le"), np.uint32)
+        lengths = [x for x in self.lengths if x <= n]
+        found = np.full((len(lengths), n + 1, w), self.none, np.int32)  # by end
+        with np.errstate(over="ignore"):
+            prefix = np.zeros((n + 1, w), np.uint64)
+            for i in range(n):
+                prefix[i + 1] = prefix[i] * np.uint64(BASE) + codes[i] + np.uint64(1)
+            for k, length in enumerate(lengths):
+                found[k, length:] = self.find(prefix[length:] - prefix[:-length] * np.uint64(pow(BASE, length, 1 << 64)))
+        back = np.array(lengths) - 1
+        held = np.zeros((max(lengths, default=1), w, self.n_langs))  # at 0 the newest
+        held[0] = 1
+        scale, out = np.zeros((w, self.n_langs)), np.zeros((w, self.n_langs))
+        for i in range(1, n + 1):
+            new = held[0] * UNKNOWN + (self.rows[found[:, i]] * held[back]).sum(axis=0)
+            held[1:] = held[:-1]
+            held[0] = new
+            done = np.flatnonzero(sizes == i)
+            if len(done):
+                out[done] = np.log(new[done]) + scale[done]
+            if i % 8 == 0:  # a step is no smaller than UNKNOWN, so eight are far from the smallest number
+                scale += np.log(new)
+                held /= new
+        return out
+
+    def long_runs(self, runs: set[str]) -> dict[str, np.ndarray]:
+        """Scores of runs beyond SHORT, with their letters, those of like lengths together."""
+        out, block, cells = {}, [], 0
+        for run in [*sorted(runs, key=len), None]:
+            if block and (run is None or len(run) > 2 * len(block[0]) or cells + len(run) > LONG_CELLS):
+                for r, row in zip(block, self.forward_scaled([START + r for r in block])):
+                    out[r] = np.append(row, len(r))
+                block, cells = [], 0
+            if run is not None:
+                block.append(run)
+                cells += len(run)
+        return out
+
     def learn(self, runs: set[str]) -> None:
         if len(self.cache) + len(runs) > self.limit:
             self.cache, self.scores = {}, np.zeros((1024, self.n_langs + 1))
@@ -174,10 +231,7 @@ class Scorer:
         for n, same in by_length.items():
             for at in range(0, len(same), 4096):
                 block = same[at : at + 4096]
-                total = self.forward([START + r[:SEGMENT] for r in block])
-                for cut in range(SEGMENT, n, SEGMENT):
-                    total = total + self.forward([r[cut : cut + SEGMENT] for r in block])
-                self.scores[first : first + len(block), :-1] = total
+                self.scores[first : first + len(block), :-1] = self.forward([START + r for r in block])
                 self.scores[first : first + len(block), -1] = n
                 self.cache.update(zip(block, range(first, first + len(block))))
                 first += len(block)
@@ -186,17 +240,22 @@ class Scorer:
         """Log-likelihoods of whole texts, as sums over their letter runs, and in the last column their letters."""
         split = [LETTERS.findall(t.lower()) if t else [] for t in texts]
         every = set().union(*split)
+        long = {w for w in every if len(w) > SHORT}
+        every -= long
         need = {w for w in every if w not in self.cache}
         if need:
             before = self.cache
             self.learn(need)
             if self.cache is not before:
                 self.learn(every.difference(need))
-        get = self.cache.__getitem__
+        far, get = self.long_runs(long), self.cache.__getitem__
         out = np.zeros((len(texts), self.n_langs + 1))
         for k, runs in enumerate(split):
+            if far and (own := [far[w] for w in runs if len(w) > SHORT]):
+                out[k] = np.sum(own, axis=0)
+                runs = [w for w in runs if len(w) <= SHORT]
             if runs:
-                out[k] = self.scores[np.fromiter(map(get, runs), np.int64, len(runs))].sum(axis=0)
+                out[k] += self.scores[np.fromiter(map(get, runs), np.int64, len(runs))].sum(axis=0)
         return out
 
 
@@ -211,7 +270,7 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     path = path or tokenizer_path(VOCABULARY)
     langs, table = model
     shared = df.sparkSession.sparkContext.broadcast((langs, table.astype(np.float32)))  # vocabulary x languages numbers
-    key = (path, id(shared), np.random.default_rng().integers(1 << 62).item())
+    key = (path, uuid.uuid4().hex)
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         langs, table = shared.value
