@@ -500,9 +500,23 @@ def test_vectors_of_many_lengths(spark):
 # 9
 
 
+def byte_oracle(docs: list[tuple[int, bytes]], length: int = suffixes.LENGTH) -> list[tuple[int, int, int, int, bytes]]:
+    """By a set of all strings seen."""
+    seen, out = set(), []
+    for i, raw in sorted(docs):
+        gone = np.zeros(len(raw) + 1, np.int8)
+        for k in range(len(raw) - length + 1):
+            s = raw[k : k + length]
+            if s in seen:
+                gone[k : k + length] = 1
+            seen.add(s)
+        out.append((i, len(raw), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), bytes(b for b, g in zip(raw, gone) if not g)))
+    return out
+
+
 def test_repeated_bytes(spark, docs, texts, empty):
     got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.drop_repeated_bytes(docs).collect()}
-    want = {i: tuple(rest) for i, *rest in suffixes.brute_force([(k, (t or "").encode()) for k, t in enumerate(texts)])}
+    want = {i: tuple(rest) for i, *rest in byte_oracle([(k, (t or "").encode()) for k, t in enumerate(texts)])}
     assert got == want and sum(w[1] for w in want.values()) > 1000
     assert suffixes.drop_repeated_bytes(empty).count() == 0
 
@@ -513,7 +527,26 @@ def test_repeated_bytes_within_and_overlapping(spark):
     rows = [(1, "a" * 450), (2, block + block[100:350] + "zz"), (3, "q" + block), (4, "a" * 150), (5, "ab" * 120), (6, block[::-1]), (None, block)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.drop_repeated_bytes(df, length=60).collect()}
-    want = suffixes.brute_force([(suffixes.LAST if i is None else i, t.encode()) for i, t in rows], 60)
+    want = byte_oracle([(suffixes.LAST if i is None else i, t.encode()) for i, t in rows], 60)
+    assert got == {(None if i == suffixes.LAST else i): (g, s, k) for i, _, g, s, k in want}
+
+
+def test_anchors_in_pieces(spark, docs, texts, monkeypatch):
+    """Texts longer than a piece lose nothing: windows over a border are in one piece or the other."""
+    monkeypatch.setattr(suffixes, "PIECE", 333)
+    long = "".join(texts[k] for k in range(12))
+    rows = [(1, long), (2, texts[20] + long[150:1800] + texts[21]), (3, None), (4, long[-700:]), (None, long[300:900])]
+    raw = np.frombuffer(long.encode(), np.uint8)
+    pos, first, last, _ = suffixes.anchors_of(raw, np.array([len(raw)]), 100)
+    assert sorted(x for a, b in zip(first.tolist(), last.tolist()) for x in range(a, b + 1)) == list(range(len(raw) - 99))
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(suffixes)  # workers see the small piece too
+    try:
+        got = {r.id: (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.drop_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(suffixes)
+    want = byte_oracle([(suffixes.LAST if i is None else i, (t or "").encode()) for i, t in rows])
     assert got == {(None if i == suffixes.LAST else i): (g, s, k) for i, _, g, s, k in want}
 
 
@@ -536,22 +569,49 @@ def test_raking_meets_its_marginals():
     rng = np.random.default_rng(1)
     cells = np.array([(a, b, c) for a in range(4) for b in range(3) for c in range(2)])
     w = rng.integers(1, 1000, len(cells)).astype(float)
-    fitted = mixing.rake(cells, w, [0.5, 0.5, 0.7], 50)
-    share = np.bincount(cells[:, 0], weights=w) / w.sum()
-    target = share**0.5 / (share**0.5).sum() * w.sum()
-    assert np.allclose(np.bincount(cells[:, 0], weights=fitted), target, rtol=1e-6)
+    targets = []
+    for d, power in enumerate([0.5, 0.5, 0.7]):
+        share = np.bincount(cells[:, d], weights=w) / w.sum()
+        goal = mixing.target_shares(dict(enumerate(share)), power, None)
+        assert np.allclose(list(goal.values()), share**power / (share**power).sum())
+        targets.append(np.array(list(goal.values())) * w.sum())
+    fitted = mixing.rake(cells, w, targets, 50)
+    assert mixing.residual(cells, fitted, targets) < 1e-9 < mixing.residual(cells, w, targets)
+    assert np.allclose(np.bincount(cells[:, 0], weights=fitted), targets[0], rtol=1e-6)
     c = mixing.scale_for_budget(fitted / w, w, 0.6)
     assert abs((np.minimum(1, c * fitted / w) * w).sum() / w.sum() - 0.6) < 1e-9
 
 
+def test_targets_are_named():
+    goal = mixing.target_shares({"a": 0.5, "b": 0.3, "c": 0.2, "d": 0.0}, 1.0, {"a": 0.1, "zz": 0.4})
+    assert np.allclose([goal[v] for v in "abcd"], [0.1, 0.54, 0.36, 0])
+    assert np.allclose(list(mixing.target_shares({"a": 0.5, "b": 0.5}, 1.0, {"a": 0.2, "b": 0.2}).values()), [0.5, 0.5])
+    with pytest.raises(ValueError, match="target weights"):
+        mixing.target_shares({"a": 0.5, "b": 0.5}, 1.0, {"a": 1.2})
+
+
 def test_mixture(spark, docs, empty):
-    odd = with_odd_ids(spark, docs)
-    small, large = (mixing.mix(odd, max_cells=m, iterations=8).toPandas().sort_values(["doc_id", "text"]) for m in (1000, 1))
-    assert len(small) == odd.count() and (small["kept"].to_numpy() == large["kept"].to_numpy()).all()
-    assert np.allclose(small["ratio"].astype(float), large["ratio"].astype(float), atol=1e-6)
+    odd = with_odd_ids(spark, docs).withColumn("topic", F.lit("old"))
+    for more in ({}, {"targets": {"source": {"s1": 0.5}}}):
+        small, large = (mixing.mix(odd, max_cells=m, iterations=8, **more).toPandas().sort_values(["doc_id", "text"]) for m in (1000, 1))
+        assert len(small) == odd.count() and (small["kept"].to_numpy() == large["kept"].to_numpy()).all()
+        assert np.allclose(small["ratio"].astype(float), large["ratio"].astype(float), atol=1e-9) and np.allclose(small["probability"].astype(float), large["probability"].astype(float), atol=1e-9)
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixture_by_tokens_and_named_targets(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    counted = tokens.token_counts(rows.withColumn("key", F.struct("doc_id", "source", "lang", "text")), id_col="key").select("key.*", "n_tokens")
+    name = rows.filter("source IS NOT NULL").groupBy("source").count().orderBy("count").first()["source"]
+    got = mixing.mix(counted, weight_col="n_tokens", targets={"source": {name: 0.4}}, iterations=200, tolerance=1e-3, temper={"lang": 1.0, "topic": 1.0}).toPandas()
+    assert (got["n_words"] == got["n_tokens"]).all()
+    raked = got["n_words"] * got["ratio"]
+    assert abs(raked[got["source"] == name].sum() / raked.sum() - 0.4) < 2e-3
+    assert abs((got["n_words"] * got["probability"]).sum() / got["n_words"].sum() - mixing.BUDGET) < 1e-6
+    with pytest.raises(ValueError, match="a marginal is off"):
+        mixing.mix(counted, weight_col="n_tokens", targets={"source": {name: 0.4}}, iterations=1, tolerance=1e-12)
+
+
 def test_digests_agree_with_texts(spark, sf_dir):
     out = suffixes.op9_repeated_bytes(spark, sf_dir).filter("n_removed = 0").limit(5).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}

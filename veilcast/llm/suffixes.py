@@ -18,7 +18,7 @@ the few bytes to its left that its windows reach back to.
 
 Answers return to the task that owns a document by mail: tables in the shared folder, a folder for each
 input partition. So texts are never shuffled. That needs a scan that deals out the same rows each time,
-which is verified; a plan with an exchange is first written to the shared folder.
+which is verified by counts, ids and ends, and fails else; a plan with an exchange is first written to the shared folder.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ from .common import mix64, prepare, require, stage_table
 LENGTH = 100
 CHUNK = 1 << 20
 RUN_ANCHORS = 250_000
-POSITION_BITS = 28
+POSITION_BITS = 28  # beside the hash in a key; longer data is taken in overlapping pieces
+PIECE = 1 << 27
 HASH_BITS = 48
 SAMPLES = 32
 U = np.uint64
@@ -60,7 +61,22 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(position, first window, last window, gram hash) of the anchors of concatenated texts."""
+    """(position, first window, last window, gram hash) of the anchors of concatenated texts.
+
+    Data of more than PIECE bytes is taken in pieces that overlap by less than a window, so each window is in one. Places keep their
+    order in a piece, so equal windows have equal anchors there too; an anchor at a border comes twice, with windows of its own."""
+    if len(data) > PIECE:
+        found = []
+        for lo in range(0, len(data), PIECE):
+            hi = min(len(data), lo + PIECE + length - 1)
+            own = np.unique(np.clip(ends - lo, 0, hi - lo))
+            pos, start, stop, h = anchors_of_piece(data[lo:hi], own[own > 0], length)
+            found.append((pos + lo, start + lo, stop + lo, h))
+        return tuple(np.concatenate(c) for c in zip(*found))
+    return anchors_of_piece(data, ends, length)
+
+
+def anchors_of_piece(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     gram = gram_of(length)
     none = np.zeros(0, np.int64)
     if len(data) < length:
@@ -210,26 +226,26 @@ def earlier_windows(common: np.ndarray, left: np.ndarray, low: np.ndarray, high:
     return out
 
 
-def to_spans(repeats: np.ndarray, doc: np.ndarray, pos: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, from, to) byte ranges that repeated windows cover, a row for each run of offsets."""
+def to_spans(repeats: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(document, from, to, id) of the byte ranges that repeated windows cover, a row for each run of offsets."""
     edge = np.diff(np.pad(repeats.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edge == 1)
     _, stop = np.nonzero(edge == -1)
-    return doc[row], pos[row] - (stop - 1), pos[row] - first + length
+    return doc[row], pos[row] - (stop - 1), pos[row] - first + length, ids[row]
 
 
-def pack_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bytes:
-    """Ranges merged by document, as three int64 arrays."""
+def pack_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ranges merged by document, with its id, as four int64 arrays."""
     order = np.lexsort((start, doc))
-    doc, start, stop = doc[order], start[order], stop[order]
+    doc, start, stop, ids = doc[order], start[order], stop[order], ids[order]
     if len(doc):
         far = doc * (1 << 40)
         reach = np.maximum.accumulate(far + stop)
         fresh = np.concatenate([[True], far[1:] + start[1:] > reach[:-1]])
         at = np.flatnonzero(fresh)
         ends = np.append(at[1:], len(doc)) - 1
-        doc, start, stop = doc[at], start[at], reach[ends] - far[at]
-    return np.stack([doc, start, stop]).astype(np.int64).tobytes()
+        doc, start, stop, ids = doc[at], start[at], reach[ends] - far[at], ids[at]
+    return np.stack([doc, start, stop, ids]).astype(np.int64).tobytes()
 
 
 def pack_run(right: np.ndarray, common: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
@@ -337,7 +353,7 @@ def _runs(batches: Iterator[pa.RecordBatch], length: int, ranges: int, asked: st
         rank[np.lexsort((pos, doc, ids))] = np.arange(len(order))
         repeats = earlier_windows(common, left, low, high, rank, length)
         if repeats.any():
-            yield row(-1, None, pack_spans(*to_spans(repeats, doc, pos, length)))
+            yield row(-1, None, pack_spans(*to_spans(repeats, doc, pos, ids, length)))
         offsets = np.arange(repeats.shape[1])
         due = (offsets >= low[:, None]) & (offsets <= high[:, None]) & ~repeats
         some = np.flatnonzero(due.any(axis=1))
@@ -423,7 +439,7 @@ def _combine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         hit = repeats.any(axis=1)
         for pid in np.unique(owner[hit]).tolist():
             own = np.flatnonzero(hit & (owner == pid))
-            yield pa.record_batch([pa.array([pid], pa.int32()), pa.array([pack_spans(*to_spans(repeats[own], doc[own], pos[own], length))], pa.binary())], names=["pid", "spans"])
+            yield pa.record_batch([pa.array([pid], pa.int32()), pa.array([pack_spans(*to_spans(repeats[own], doc[own], pos[own], ids[own], length))], pa.binary())], names=["pid", "spans"])
 
     held: list[tuple[int, bytes]] = []
     last = None
@@ -443,8 +459,8 @@ def _combine(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 def _cut(batches: Iterator[pa.RecordBatch], found: str) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) -> (id, n_bytes, n_removed, n_spans, kept)."""
-    blobs = [np.frombuffer(r["spans"], np.int64).reshape(3, -1) for r in mail(found, TaskContext.get().partitionId())]
-    doc, start, stop = np.frombuffer(pack_spans(*np.concatenate(blobs, axis=1)), np.int64).reshape(3, -1) if blobs else np.zeros((3, 0), np.int64)
+    blobs = [np.frombuffer(r["spans"], np.int64).reshape(4, -1) for r in mail(found, TaskContext.get().partitionId())]
+    doc, start, stop, owner = np.frombuffer(pack_spans(*np.concatenate(blobs, axis=1)), np.int64).reshape(4, -1) if blobs else np.zeros((4, 0), np.int64)
     ordinal = 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
@@ -453,8 +469,10 @@ def _cut(batches: Iterator[pa.RecordBatch], found: str) -> Iterator[pa.RecordBat
             bounds = np.searchsorted(doc, np.arange(ordinal, ordinal + len(raws) + 1)).tolist()
             ordinal += len(raws)
             gone, kept = [], []
-            for raw, a, b in zip(raws, bounds[:-1], bounds[1:]):
+            for i, raw, a, b in zip(part.column(0).to_pylist(), raws, bounds[:-1], bounds[1:]):
                 pieces, at, n = [], 0, 0
+                if (owner[a:b] != (LAST if i is None else i)).any():
+                    raise RuntimeError("an answer is for another document; the input changed")
                 for x, y in zip(start[a:b].tolist(), stop[a:b].tolist()):
                     if y > len(raw):
                         raise RuntimeError("a range ends beyond its text; the input changed")
@@ -520,17 +538,3 @@ cuts AS (
 SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
-
-
-def brute_force(docs: list[tuple[int, bytes]], length: int = LENGTH) -> list[tuple[int, int, int, int, bytes]]:
-    """The same by a set of all strings seen, for tests."""
-    seen, out = set(), []
-    for i, raw in sorted(docs):
-        gone = np.zeros(len(raw) + 1, np.int8)
-        for k in range(len(raw) - length + 1):
-            s = raw[k : k + length]
-            if s in seen:
-                gone[k : k + length] = 1
-            seen.add(s)
-        out.append((i, len(raw), int(gone.sum()), int((np.diff(gone, prepend=0) == 1).sum()), bytes(b for b, g in zip(raw, gone) if not g)))
-    return out
