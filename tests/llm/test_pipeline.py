@@ -1,9 +1,13 @@
 """The pipeline's stages on the smallest tables, each against a plain version on its own input."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
+from veilcast.llm import mixing, tokens
 from tests.llm.test_operators import contamination_oracle, near_oracle
 
 
@@ -57,6 +61,58 @@ def test_decontaminated(stages, spark, sf_dir):
     assert set(stages[3]["doc_id"]) == want
 
 
+def test_mixture_by_tokens(stages):
+    """The kept documents are those of a plain fit on the library's token counts."""
+    docs = stages[3].copy()
+    library = Tokenizer.from_file(tokens.tokenizer_path(tokens.VOCABULARY))
+    docs["n"] = [len(library.encode(t or "", add_special_tokens=False).ids) for t in docs["text"]]
+    marks = (("table", (" | ",)), ("notice", ("!!",)), ("markup", ("###", "***", "$$$")))
+    docs["topic"] = [next((name for name, own in marks if any(m in (t or "") for m in own)), "prose") for t in docs["text"]]
+    cells = docs.assign(source=docs["source"].fillna("(null)"), lang=docs["lang"].fillna("(null)")).groupby(["source", "lang", "topic"], as_index=False)["n"].sum()
+    fitted, total = cells["n"].astype(float), float(cells["n"].sum())
+    goals = {}
+    for d, power in mixing.TEMPER.items():
+        share = (cells.groupby(d)["n"].sum() / total) ** power
+        goals[d] = total * share / share.sum()
+    for _ in range(mixing.ITERATIONS):
+        for d in mixing.TEMPER:
+            fitted = fitted * cells[d].map(goals[d] / fitted.groupby(cells[d]).sum())
+    ratio = fitted / cells["n"]
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if ((mid * ratio).clip(upper=1) * cells["n"]).sum() < mixing.BUDGET * total else (low, mid)
+    chance = {(r.source, r.lang, r.topic): min(1.0, high * x) for r, x in zip(cells.itertuples(), ratio)}
+    draw = lambda i: int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    want = {r.doc_id for r in docs.itertuples() if draw(r.doc_id) < chance[(r.source or "(null)", r.lang or "(null)", r.topic)]}
+    assert set(stages[4]["doc_id"]) == want
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    """Every stage of empty documents is empty, and no benchmark contaminates nothing."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    bench.limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert pipeline.without_benchmarks(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_odd_rows(spark, sf_dir):
+    """Null and repeated ids, null columns and repeats go through every stage; each is judged by its own text."""
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").filter("length(text) > 200").first().text
+    base = "the river and the stone light of a winter garden are silent paper engines of copper signal and meadow"
+    rows = [(None, item, None, None, None), (None, base, "en", "s", 1), (1, base, None, None, 2), (1, item, "en", "s", 3), (1, base, None, None, 2), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    kinds = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(kinds[c].dataType) for c in pipeline.COLUMNS])
+    clean = sorted((r.doc_id or 0, r.text or "") for r in pipeline.without_benchmarks(spark, docs, sf_dir).collect())
+    assert clean == [(0, base), (1, base), (1, base), (2, ""), (3, "")]
+    assert pipeline.one_of_each_group(spark, docs, sf_dir).count() == 7
+    assert {r.text for r in pipeline.raked_sample(spark, docs, sf_dir).collect()} <= {base, item, None, ""}
+    assert pipeline.shards(spark, docs, sf_dir).count() == 7
+    assert pipeline.known_language(spark, docs, sf_dir).filter("text IS NULL OR text = ''").count() == 0
+
+
 def test_mixture_and_shards(stages):
     assert 0 < len(stages[4]) < len(stages[3]) and set(stages[4]["doc_id"]) <= set(stages[3]["doc_id"])
     assert sorted(stages[5]["doc_id"]) == sorted(stages[4]["doc_id"])

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prepare, require, worker_state
 
@@ -204,13 +205,13 @@ def frequent_units(df: DataFrame, text: str = "text", k: int = FREQUENT) -> list
     return [] if top is None or top["top"] is None else [r["item"] for r in top["top"] if r["item"]]
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
-    """(id_col, n_tokens long): tokens of each whole text as the tokenizers library counts them without
+def with_token_counts(df: DataFrame, text_col: str = "text", count_col: str = "n_tokens", path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """df with count_col (long): tokens of each whole text as the tokenizers library counts them without
     added special tokens; strings of special tokens inside a text count as the library's default has it.
 
-    Null and empty texts have 0 tokens; texts of any length are encoded whole; repeated rows and ids
-    give repeated rows; an empty table gives an empty one; other columns are ignored."""
-    require(df, id_col, text_col)
+    Null and empty texts have 0 tokens; texts of any length are encoded whole; rows that repeat are counted each; an empty table
+    gives an empty one; an existing count_col is replaced."""
+    require(df, text_col)
     prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     spark = df.sparkSession
@@ -222,18 +223,25 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         table = {u: maker.young.get(u, maker.old.get(u)) for u in units}
     shared = spark.sparkContext.broadcast(table)  # `frequent` short units at most
     key = ("count", path, uuid.uuid4().hex)
+    kept = df.drop(count_col)
+    at = kept.columns.index(text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_state(key, lambda: UnitEncoder(path, len, shared.value))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(at).to_pylist()
             n = []
-            for at in range(0, len(texts), 256):
-                n += [sum(values) for values in encoder.batch(texts[at : at + 256])]
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
+            for lo in range(0, len(texts), 256):
+                n += [sum(values) for values in encoder.batch(texts[lo : lo + 256])]
+            yield pa.record_batch([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, count_col])
+
+    return kept.mapInArrow(count, T.StructType([*kept.schema.fields, T.StructField(count_col, T.LongType())]))
 
-    kind = dict(df.select(id_col).dtypes)[id_col]
-    return df.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {kind}, n_tokens long")
+
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, frequent: int = FREQUENT) -> DataFrame:
+    """(id_col, n_tokens long), as with_token_counts has it; repeated ids give repeated rows; other columns are ignored."""
+    require(df, id_col, text_col)
+    return with_token_counts(df.select(id_col, text_col), text_col, "n_tokens", path, frequent).select(id_col, "n_tokens")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
