@@ -5,7 +5,9 @@ import math
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -108,6 +110,18 @@ def test_sentence_spans(spark, docs, texts, empty):
     assert sentences.drop_repeated_spans(with_odd_ids(spark, docs)).count() == docs.count() + 3
 
 
+def test_sentence_marks_of_other_scripts(spark):
+    """Runs are found and cut in texts without Latin marks or blanks, by the operator and by SQL alike."""
+    run = ["春はあけぼの。やうやう白くなりゆく。山ぎは少し明かりて！", "यह पहला वाक्य है। यह दूसरा है। यह तीसरा है।", "یہ پہلا جملہ ہے۔ یہ دوسرا ہے۔ یہ تیسرا ہے۔"]
+    rows = [(2 * k + j, f"{'前' * (k + j + 1)}。{r}末{k}{j}") for k, r in enumerate(run) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in sentences.drop_repeated_spans(df).collect()}
+    assert got == sentence_oracle(rows) and [got[i][1] for i in range(6)] == [0, 3, 0, 3, 0, 3]
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {r[0]: (r[1], r[2]) for r in duck.execute(sentences.ORACLE_SQL).fetchall()} == {i: v[:2] for i, v in got.items()}
+
+
 # 3 and 4
 
 

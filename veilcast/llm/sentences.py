@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import prepare, require
 
 RUN = 3
+MARKS = r".!?。！？।۔\n"  # full stops, exclamation and question marks of Latin, Chinese and Japanese, Devanagari and Urdu texts
 #: A sentence runs to the end of its closing marks or line, with the blanks after them.
-SENTENCE = r"[^.!?\n]++[.!?\n]*+[ \t\r\n\f]*+|[.!?\n]++[ \t\r\n\f]*+"
+SENTENCE = rf"[^{MARKS}]++[{MARKS}]*+[ \t\r\n\f]*+|[{MARKS}]++[ \t\r\n\f]*+"
 BLANKS = " \t\r\n\f"
 
 
@@ -98,7 +99,7 @@ def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH s AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*[ \t\r\n\f]*|[.!?\n]+[ \t\r\n\f]*') AS ss FROM documents
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{MARKS}]+[{MARKS}]*[ \t\r\n\f]*|[{MARKS}]+[ \t\r\n\f]*') AS ss FROM documents
 ), r AS (
   SELECT doc_id, k, array_to_string([trim(x, e' \t\r\n\f') FOR x IN ss[k : k + {RUN - 1}]], e'\n') AS h
   FROM s, unnest(range(1, CAST(len(ss) - {RUN - 2} AS BIGINT))) AS t(k)
