@@ -505,6 +505,19 @@ def test_links_of_unbalanced_vectors(spark, monkeypatch, exact):
     assert [got[k] for k in range(len(every))] == near.sum(axis=1).tolist()
 
 
+def test_no_size_or_setting_decides_links(spark, monkeypatch):
+    """Beyond any size all pairs are compared, in blocks that meet once each, some beside a task's own at a time."""
+    for name, value in {"EXACT": 0, "TABLES": 1, "MISS": 0.9, "LOAD": 0.05, "BLOCK": 5, "BLOCKS": 4, "BLOCK_BYTES": 16 * 4 * 60, "SPAN": 2, "TASK_ROWS": 100}.items():
+        monkeypatch.setattr(vectors, name, value, raising=False)
+    rng = np.random.default_rng(3)
+    for n in (700, 731):  # even and odd numbers of blocks
+        base = rng.standard_normal((n // 2, 16))
+        every = np.float32(np.concatenate([base, base + 0.3 * rng.standard_normal(base.shape), base[:1]]))
+        rows = [(7 * k, [float(x) for x in v]) for k, v in enumerate(every)]
+        got = {r.id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+        assert got == vector_oracle(rows) and sum(k for k, _ in got.values()) > n // 3
+
+
 def test_vectors_of_many_lengths(spark):
     rows = [(2 * n + k, [float(n)] * (n - 1) + [float(k)]) for n in range(2, 90) for k in (1, 2)]
     got = {r.id: (r.n_links, r.component_id) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}

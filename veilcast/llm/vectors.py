@@ -1,19 +1,12 @@
-"""Operator 8, embedding near-dedup: all pairs in blocks, and spherical-cap filters for very many vectors.
+"""Operator 8, embedding near-dedup: all pairs of different vectors, in blocks, at any number of them.
 
-Up to EXACT vectors of one length are all compared with each other: they share one filter, whose members are
-dealt over block pairs. Single precision sorts out what stays below the threshold by more than its rounding
-error, and double precision decides on the rest.
+The vectors of one length are dealt over blocks by a hash, a file each below the shared folder. A task takes one block and
+reads some others one after the other, so vectors are never shuffled for pairs, and every two blocks meet once. Single
+precision sorts out what stays below the threshold by more than its rounding error, and double precision decides on
+the rest. Nothing is left to chance: no size, setting or property of the vectors decides which links are found.
 
-More vectors are compared where they share a filter. A filter is a direction, a word of a product code: the
-coordinates are cut in two blocks, each block has its own random unit vectors, and a direction is one of each.
-Every vector falls into its LIST_LENGTH best directions of each table, which are read from two short score lists
-without scoring all k * k directions. Each table first turns the space by its own random rotation, so the chance
-of a pair depends on its angle only, not on where its coordinates are heavy; there are as many tables as bring
-the chance of missing a pair at the threshold below MISS.
-
-Equal vectors are one class with a multiplicity. A pair counts in its first common filter only, so link
-counts and local components leave a task as sums and stars, never as pairs. Filters with more than
-BLOCK members are spread over block pairs.
+Equal vectors are one class with a multiplicity. Link counts and local components leave a task as sums and
+stars, never as pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +15,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,58 +24,15 @@ from .common import prepare, require, stage_table
 from .components import components, forest
 
 THRESHOLD = 0.95
-EXACT = 1 << 19  # vectors of one length that are all compared with each other
-MISS = 1e-6  # bound on the chance that the filters miss a pair at the threshold
-TABLES = 6  # at least
-MOST_TABLES = 16  # more only with the fewest directions
-LIST_LENGTH = 8  # filters a vector falls into in each table
-LOAD = 3  # vectors that a filter should hold, on average
-PAIRS = 2048  # random pairs at the threshold that the number of tables is fitted on, in each table tried
-BLOCK = 2048
-BLOCKS = 64  # of the vectors of one length, where all are compared
+BLOCK = 2048  # vectors of a block, at least where there are more
+BLOCKS = 64  # of the vectors of one length, unless they would exceed BLOCK_BYTES
+BLOCK_BYTES = 8 << 20  # of a block's stored components, about
+SPAN = 16  # blocks that a task reads beside its own, at most
+TASK_ROWS = 1024  # vectors a task, at least on average
 STRIPE = 1 << 22  # inner products at a time
 SEED = 7
 
 
-def code(dim: int, k: int, table: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of the two coordinate blocks of one table."""
-    rng = np.random.Generator(np.random.Philox(key=[seed, table * 1_000_003 + dim]))
-    cut = (dim + 1) // 2
-    both = [rng.standard_normal((k, n)) for n in (cut, dim - cut)]
-    return tuple(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) * math.sqrt(n / dim) for x, n in zip(both, (cut, dim - cut)))
-
-
-def rotation(dim: int, table: int, seed: int = SEED) -> np.ndarray:
-    """A uniformly random orthogonal matrix."""
-    rng = np.random.Generator(np.random.Philox(key=[seed + 1, table * 1_000_003 + dim]))
-    q, r = np.linalg.qr(rng.standard_normal((dim, dim)))
-    return q * np.where(np.diag(r) < 0, -1.0, 1.0)
-
-
-def best_directions(x: np.ndarray, turn: np.ndarray, codes: tuple[np.ndarray, np.ndarray], length: int = LIST_LENGTH) -> np.ndarray:
-    """Numbers i * k + j of the `length` directions with the largest left[i] + right[j], for each vector."""
-    x, cut, k = x @ turn, codes[0].shape[1], len(codes[0])
-    left, right = x[:, :cut] @ codes[0].T, x[:, cut:] @ codes[1].T
-    i, j = (np.argpartition(-s, length - 1, axis=1)[:, :length] for s in (left, right))
-    sums = np.take_along_axis(left, i, 1)[:, :, None] + np.take_along_axis(right, j, 1)[:, None, :]
-    numbers = (i[:, :, None] * k + j[:, None, :]).reshape(len(x), -1)
-    return np.take_along_axis(numbers, np.argpartition(-sums.reshape(len(x), -1), length - 1, axis=1)[:, :length], 1)
-
-
-def tables_for(dim: int, k: int, threshold: float, tried: int = 4) -> int:
-    """How many tables bring the chance of missing a pair at the threshold below MISS, by random pairs."""
-    rng, cos = np.random.Generator(np.random.Philox(key=[SEED + 2, dim])), min(1.0, max(-1.0, threshold))
-    x, z = rng.standard_normal((2, PAIRS, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    y = cos * x + math.sqrt(1 - cos * cos) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300)
-    missed = 0
-    for t in range(tried):
-        a, b = (best_directions(v, rotation(dim, t), code(dim, k, t)) for v in (x, y))
-        missed += int((~(a[:, :, None] == b[:, None, :]).any(axis=(1, 2))).sum())
-    return max(TABLES, math.ceil(math.log(MISS) / math.log((missed + 1) / (tried * PAIRS + 2))))
-
-
 def valid(vec: str):
     """Whether a vector can link: there, not zero, and all components there and finite."""
     v = F.col(vec)
@@ -114,66 +64,50 @@ def near_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterato
         yield lo + i[near], first + j[near]
 
 
-def _pairs_in_task(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group; each group has the members of one filter, or of two blocks of one."""
+def _block(uri: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, multiplicities and unit vectors of the block in a folder, in the order of ids; a block may be empty."""
+    from pyarrow import fs
+
+    where, folder = fs.FileSystem.from_uri(uri)
+    files = [f.path for f in where.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.path.endswith(".parquet")]
+    parts = [pq.ParquetFile(where.open_input_file(f)).read(["id", "n", "raw"]) for f in files]
+    if not sum(p.num_rows for p in parts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1))
+    rows = pa.concat_tables(parts).sort_by("id")
+    return rows["id"].to_numpy(), rows["n"].to_numpy(), _unit(rows["raw"].to_pylist(), kind)
+
+
+def _pairs_in_task(batches: Iterator[pa.RecordBatch], path: str, threshold: float, kind: str, span: int) -> Iterator[pa.RecordBatch]:
+    """Links of each row's block with itself (offset 0) and with the blocks at the next offsets, cyclically, `span` of them a row."""
     links: dict[int, int] = {}
     ends_a, ends_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-    def take(group: list[dict[str, np.ndarray]]) -> None:
-        cols = {k: np.concatenate([g[k] for g in group]) for k in ("key", "id", "n", "side")}
-        raw, lists = [r for g in group for r in g["raw"]], [f for g in group for f in g["filters"]]
-        bounds = np.flatnonzero(np.concatenate([[True], cols["key"][1:] != cols["key"][:-1], [True]]))
-        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo < 2 or len(raw[lo]) == 0:
-                continue
-            f = lists[lo][0]
-            ids, mult, side = cols["id"][lo:hi], cols["n"][lo:hi], cols["side"][lo:hi]
-            x = _unit(raw[lo:hi], kind)
-            halves = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(hi - lo), None)
-            left, right = halves  # two blocks meet: pairs inside a block are counted elsewhere
-            if right is not None and not (len(left) and len(right)):
-                continue
-            for r, c in near_pairs(x[left], None if right is None else x[right], threshold):
-                r, c = left[r], (left if right is None else right)[c]
-                if not len(r):
-                    continue
-                linked, at = np.unique(np.concatenate([r, c]), return_inverse=True)
-                own = [lists[lo + k][1] for k in linked.tolist()]
-                before = np.concatenate([o[o < f] for o in own])
-                if len(before):  # pairs with an earlier common filter are counted there
-                    names, place = np.unique(before, return_inverse=True)
-                    has = np.zeros((len(own), len(names)), np.float32)
-                    has[np.repeat(np.arange(len(own)), [int((o < f).sum()) for o in own]), place] = 1
-                    new = (has @ has.T)[at[: len(r)], at[len(r) :]] < 0.5
-                    r, c = r[new], c[new]
-                sums = np.bincount(r, mult[c], hi - lo) + np.bincount(c, mult[r], hi - lo)
-                for k in np.flatnonzero(sums).tolist():
-                    links[int(ids[k])] = links.get(int(ids[k]), 0) + int(sums[k])
-                ends_a.append(ids[r])
-                ends_b.append(ids[c])
-                if sum(map(len, ends_a)) > 1 << 21:
-                    a, b = forest(np.concatenate(ends_a), np.concatenate(ends_b))
-                    ends_a[:], ends_b[:] = [a], [b]
+    def add(ids: np.ndarray, sums: np.ndarray) -> None:
+        for k in np.flatnonzero(sums).tolist():
+            links[int(ids[k])] = links.get(int(ids[k]), 0) + int(sums[k])
 
-    held: list[dict] = []
     for batch in batches:
-        key, lists = batch.column(0).to_numpy(), batch.column(5)
-        flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-        filters = [(f, flat[a:b]) for f, a, b in zip(batch.column(6).to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist())]
-        now = {"key": key, "id": batch.column(1).to_numpy(), "n": batch.column(2).to_numpy(), "side": batch.column(3).to_numpy(), "raw": batch.column(4).to_pylist(), "filters": filters}
-        last = key[-1]
-        cut = int(np.searchsorted(key, last, side="left")) if key[0] != last else 0
-        if cut:
-            held.append({k: v[:cut] for k, v in now.items()})
-            take(held)
-            held = [{k: v[cut:] for k, v in now.items()}]
-        elif held and held[-1]["key"][-1] != key[0]:
-            take(held)
-            held = [now]
-        else:
-            held.append(now)
-    if held:
-        take(held)
+        for dim, blocks, own, first in zip(*[c.to_pylist() for c in batch.columns]):
+            ids, mult, x = _block(f"{path}/dim={dim}/block={own}", kind)
+            total = np.zeros(len(ids), np.int64)
+            for offset in range(first, min(first + span, blocks // 2 + 1)):
+                if not len(ids) or 2 * offset == blocks and own >= offset:  # half around, two blocks would meet twice
+                    continue
+                others, weights, y = (ids, mult, None) if offset == 0 else _block(f"{path}/dim={dim}/block={(own + offset) % blocks}", kind)
+                if not len(others):
+                    continue
+                theirs = total if y is None else np.zeros(len(others), np.int64)
+                for r, c in near_pairs(x, y, threshold):
+                    np.add.at(total, r, weights[c])
+                    np.add.at(theirs, c, mult[r])
+                    ends_a.append(ids[r])
+                    ends_b.append(others[c])
+                    if sum(map(len, ends_a)) > 1 << 21:
+                        a, b = forest(np.concatenate(ends_a), np.concatenate(ends_b))
+                        ends_a[:], ends_b[:] = [a], [b]
+                if y is not None:
+                    add(others, theirs)
+            add(ids, total)
     a, b = forest(np.concatenate(ends_a), np.concatenate(ends_b))
     ids = np.array(list(links), np.int64)
     yield pa.record_batch([pa.array(np.concatenate([ids, a])), pa.array(np.concatenate([np.array(list(links.values()), np.int64), np.zeros(len(a), np.int64)])), pa.array(np.concatenate([ids, b]))], names=["id", "n", "to"])
@@ -181,8 +115,7 @@ def _pairs_in_task(batches: Iterator[pa.RecordBatch], threshold: float, kind: st
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """(id long, n_links long, component_id long, kept boolean): links are pairs with cosine of at least
-    `threshold` in double precision. All are found among up to EXACT different vectors of one length; among more,
-    a pair is missed with a chance of at most about MISS, whatever its vectors are like.
+    `threshold` in double precision. All are found, among any number of vectors; the work grows with its square.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
     vectors of different lengths don't link. Equal vectors link with each other whatever their number.
@@ -190,50 +123,25 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     a null component. An empty table gives an empty one; other columns are ignored."""
     require(df, id_col, vec_col)
     prepare(df.sparkSession)
-    spark = df.sparkSession
     kind, size = ("<f4", 4) if dict(df.select(vec_col).dtypes)[vec_col] == "array<float>" else ("<f8", 8)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).withColumn("ok", valid("v") & F.col("id").isNotNull())
     keyed = rows.withColumn("k1", F.when(F.col("ok"), F.xxhash64("v"))).withColumn("k2", F.when(F.col("ok"), F.xxhash64(F.lit(SEED), "v")))
     raw = F.pandas_udf(lambda s: s.map(lambda x: np.asarray(x, kind).tobytes()), "binary")
     classes, _ = stage_table(keyed.filter("ok").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("raw", raw("v")).select("k1", "k2", "id", "n", "raw"))
-    many = classes.groupBy((F.octet_length("raw") / size).cast("int").alias("dim")).count().filter(F.col("count") > EXACT).orderBy("dim").collect()
-    plans = {}  # of the vector lengths that need filters: place, k, tables
-    for at, (dim, total) in enumerate(many):
-        k = max(12, math.ceil(math.sqrt(total * LIST_LENGTH / LOAD)))
-        while k > 12 and tables_for(dim, k, threshold) > MOST_TABLES:  # few dimensions: too many directions for the lists
-            k = max(12, k // 2)
-        plans[dim] = (at, k, tables_for(dim, k, threshold))
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = {dim: [(rotation(dim, t), code(dim, k, t)) for t in range(tables)] for dim, (_, k, tables) in plans.items()}
-        for batch in batches:
-            raws = batch.column(2).to_pylist()
-            found = [np.array([-(len(r) // size)]) for r in raws]  # the filter of all vectors of this length
-            for lo in range(0, len(raws), 512):
-                part = range(lo, min(lo + 512, len(raws)))
-                for dim, (place, k, _) in plans.items():
-                    own = [p for p in part if len(raws[p]) == size * dim]
-                    if own:
-                        x = _unit([raws[p] for p in own], kind)
-                        each = np.concatenate([best_directions(x, turn, c) + t * k * k for t, (turn, c) in enumerate(codes[dim])], axis=1)
-                        for p, row in zip(own, np.sort(each, axis=1) * len(plans) + place):
-                            found[p] = row
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int64()))], names=["id", "n", "raw", "filters"])
-
-    coded, _ = stage_table(classes.select("id", "n", "raw").mapInArrow(decode, "id long, n long, raw binary, filters array<long>"))
-    slim = coded.select("id", F.explode("filters").alias("filter"))
-    sizes = slim.groupBy("filter").agg(F.count("*").alias("m")).filter("m > 1")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = slim.join(sizes, "filter").withColumn("blocks", F.when(F.col("filter") < 0, F.least(blocks, F.lit(BLOCKS))).otherwise(blocks))
-    mine = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int")
-    spread = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2).cast("int")
-    key = F.xxhash64("filter", F.least("mine", "other"), F.greatest("mine", "other"))
-    # ids and filters find their places first; vectors and lists join them there, and are moved by key once
-    grouped = spread.select("id", "filter", key.alias("key"), side.alias("side")).join(coded, "id").select("key", "id", "n", "side", "raw", "filters", "filter")
-    found, _ = stage_table(grouped.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs_in_task(b, threshold, kind), "id long, n long, to long"))
+    dim = (F.octet_length("raw") / size).cast("int").alias("dim")
+    needed = F.greatest(F.least(F.ceil(F.col("m") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("m") * F.col("dim") * size / BLOCK_BYTES))
+    sizes, _ = stage_table(classes.groupBy(dim).agg(F.count("*").alias("m")).withColumn("blocks", needed.cast("int")))  # a row a length
+    mine = F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")).cast("int").alias("block")
+    dealt = classes.select("id", "n", "raw", dim).join(sizes, "dim").select("dim", mine, "id", "n", "raw")
+    _, path = stage_table(dealt.repartition("dim", "block"), "dim", "block")
+    span = SPAN  # the session's, whatever workers have
+    jobs = sizes.filter("m > 1").select("dim", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    jobs = jobs.withColumn("first", F.explode(F.sequence(F.lit(0), F.floor(F.col("blocks") / 2).cast("int"), F.lit(span))))
+    total = sizes.agg(F.sum("m")).first()[0] or 0
+    tasks = max(1, min(jobs.count(), math.ceil(total / TASK_ROWS)))
+    found, _ = stage_table(jobs.repartition(tasks).mapInArrow(lambda b: _pairs_in_task(b, path, threshold, kind, span), "id long, n long, to long"))
     counts = found.filter("n > 0").groupBy("id").agg(F.sum("n").alias("links"))
-    labels = components(found.filter("id <> to"), "id", "to")
+    labels = components(found.filter("n = 0"), "id", "to")
     groups = classes.select("k1", "k2", "id", "n").join(counts, "id", "left").join(labels, "id", "left")
     groups = groups.select("k1", "k2", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "id").alias("component"))
     out = keyed.select("id", "k1", "k2").join(groups, ["k1", "k2"], "left")
