@@ -1,13 +1,18 @@
 """The pipeline's stages on the smallest tables, each against a plain version on its own input."""
 
 import hashlib
+import zlib
+from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from veilcast.llm import mixing, tokens
+from veilcast.llm import language, mixing, tokens
 from tests.llm.test_operators import contamination_oracle, near_oracle
 
 
@@ -49,6 +54,36 @@ def test_language_rejects_foreign_texts_and_junk(spark, sf_dir):
     assert out.filter("doc_id >= 0").count() >= 0.99 * docs.count()
 
 
+def test_language_learns_and_measures_on_all_labelled_rows(spark, sf_dir, monkeypatch):
+    """Beyond op7's bound too: the model is that of all labelled rows to learn from, and all held-out ones set the cut."""
+    words = "stone river paper meadow harbor".split()
+    rows = [(k, f"{words[k % 5]} {words[k // 5 % 5]}", "en" if k % 11 else None, "s", 9) for k in range(66_000)]
+    docs = spark.createDataFrame(pd.DataFrame(rows, columns=pipeline.COLUMNS)).repartition(8)
+    seen, fit, fits = {}, pipeline.fit, pipeline.fits
+    monkeypatch.setattr(pipeline, "fit", lambda *a, **k: seen.setdefault("model", fit(*a, **k)))
+    monkeypatch.setattr(pipeline, "fits", lambda known: (seen.setdefault("known", known.count()), fits(known))[1])
+    assert pipeline.known_language(spark, docs, sf_dir).count() == len(rows)
+    held = [zlib.crc32(str(k).encode()) % 3 == 1 for k, *_ in rows]
+    assert seen["known"] == sum(h for h, r in zip(held, rows) if r[2]) > language.SAMPLE_DOCS
+    encode = sentencepiece.SentencePieceProcessor(model_file=tokens.tokenizer_path(language.VOCABULARY)).encode
+    ids = {w: encode(w) for w in words}
+    counts = Counter(i for h, r in zip(held, rows) if r[2] and not h for w in r[1].split() for i in ids[w])
+    langs, table = seen["model"]
+    top = max(counts, key=counts.get)
+    assert langs == ["en"] and all(table[i, 0] / table[top, 0] == pytest.approx((m + language.SMOOTHING) / (counts[top] + language.SMOOTHING)) for i, m in counts.items())
+
+
+def test_quantiles_of_all_rows(spark):
+    rng = np.random.default_rng(4)
+    group = rng.integers(0, 3, 9000)
+    x = np.where(group == 0, np.round(rng.standard_normal(9000), 1), np.where(group == 1, rng.standard_normal(9000) * 1e6, 7.0))
+    df = spark.createDataFrame(pd.DataFrame({"g": group.astype(np.int32), "x": x})).repartition(5)
+    shares = [0.0, 0.001, 0.05, 0.5, 0.77, 1.0]
+    got = language.quantiles(df, shares)
+    assert all(got[g] == pytest.approx(np.quantile(x[group == g], shares).tolist()) for g in range(3))
+    assert language.quantiles(df.limit(0), shares) == {}
+
+
 def test_one_of_each_group(stages):
     rows = list(zip(stages[1]["doc_id"], stages[1]["text"]))
     want = {i for i, (_, c) in near_oracle(rows, 5, 80).items() if i == c}

@@ -10,6 +10,7 @@ length are scored whole, over all segmentations; in long ones the recursion is s
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare, require, worker_state
+from .common import mix64, prepare, require, stage_table, worker_state
 from .tokens import tokenizer_path
 
 VOCABULARY = "piece_bpe_32k.model"
 SAMPLE_DOCS = 20_000  # bound on the labelled rows that are learned from, about
+FIT_WORDS = 200_000  # different words that a task holds while it learns
+BINS = 1024
 SMOOTHING = 0.1
 UNKNOWN = 1e-7
 SHORT = 32  # letters; longer runs are scored with scaling, and not kept
@@ -56,19 +59,18 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
-def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, path: str | None = None) -> tuple[list[str], np.ndarray]:
+def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int | None = SAMPLE_DOCS, path: str | None = None) -> tuple[list[str], np.ndarray]:
     """(languages, probabilities[piece, language]) from the labelled rows of df.
 
     A random part of the rows, about `sample_docs` where there are more but at least about FEWEST_DOCS of each language that
-    has them, is segmented by the vocabulary's own tokenizer; piece counts are summed map-side and then by
+    has them, or with None all rows, are segmented by the vocabulary's own tokenizer; piece counts are summed map-side and then by
     (language, piece), so the driver gets at most languages x vocabulary numbers. Rows are drawn one by one, so a text that
     many rows share counts as often as it should. Rows without text or language are left out."""
     prepare(df.sparkSession)
     path = path or tokenizer_path(VOCABULARY)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
-    n = sum(sizes.values())
-    if n > sample_docs:
+    sizes = {} if sample_docs is None else {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    if sum(sizes.values()) > (sample_docs or 0):
         rates = sampling_rates(sizes, sample_docs)
         rate = F.element_at(F.create_map(*[F.lit(x) for pair in rates.items() for x in pair]), F.col("lang"))
         rows = rows.filter(F.rand(SEED) < rate)
@@ -78,14 +80,23 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_do
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         found: dict[str, Counter] = {}
+        totals: dict[str, Counter] = {}
+
+        def encode() -> None:
+            for lang, words in found.items():
+                pieces = totals.setdefault(lang, Counter())
+                for ids, m in zip(model.encode(list(words), num_threads=1), words.values()):
+                    for i in ids:
+                        pieces[i] += m
+            found.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        for lang, words in found.items():
-            pieces: Counter = Counter()
-            for ids, m in zip(model.encode(list(words), num_threads=1), words.values()):
-                for i in ids:
-                    pieces[i] += m
+            if sum(map(len, found.values())) > FIT_WORDS:
+                encode()
+        encode()
+        for lang, pieces in totals.items():
             yield pa.record_batch([pa.array([lang] * len(pieces)), pa.array(list(pieces), pa.int32()), pa.array(list(pieces.values()), pa.int64())], names=["lang", "piece", "n"])
 
     counts = rows.mapInArrow(count, "lang string, piece int, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -299,26 +310,72 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text_col: str =
     return df.drop(*names).withColumn("__vc_g", guess(text_col)).select("*", *(f"__vc_g.{c}" for c in names)).drop("__vc_g")
 
 
+def quantiles(df: DataFrame, shares: list[float]) -> dict[int, list[float]]:
+    """For each group g of all rows (g int, x double) the exact quantiles of x, between two ranks linearly.
+
+    Each pass counts the rows of every interval that still holds a wanted rank in BINS bins, and goes on with the bins where
+    the ranks lie, until those hold one value; so at most BINS rows an interval reach the driver, of any number."""
+    sizes, found, spans = {}, {}, []
+    for r in df.groupBy("g").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        sizes[r["g"]] = r["n"]
+        spans.append((r["g"], r["lo"], r["hi"], 0, {turn(s * (r["n"] - 1)) for s in shares for turn in (math.floor, math.ceil)}))
+    while spans:
+        found.update({(g, k): lo for g, lo, hi, _, ranks in spans if lo == hi for k in ranks})
+        spans = [s for s in spans if s[1] < s[2]]
+        if not spans:
+            break
+        ends, bins = [s[:3] for s in spans], BINS
+
+        def count(batches: Iterator[pa.RecordBatch], ends=ends, bins=bins) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                group, value = (c.to_numpy() for c in batch.columns)
+                for k, (g, lo, hi) in enumerate(ends):
+                    x = np.sort(value[(group == g) & (value >= lo) & (value <= hi)])
+                    place, first = np.unique(np.minimum((x - lo) / (hi - lo) * bins, bins - 1).astype(np.int32), return_index=True)
+                    last = np.append(first[1:], len(x))
+                    yield pa.record_batch([pa.array(np.full(len(place), k, np.int32)), pa.array(place), pa.array(last - first), pa.array(x[first]), pa.array(x[last - 1] if len(x) else x)], names=["span", "bin", "n", "lo", "hi"])
+
+        counted = df.select("g", "x").mapInArrow(count, "span int, bin int, n long, lo double, hi double").groupBy("span", "bin")
+        inside = sorted(counted.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect())
+        narrower, below = [], [s[3] for s in spans]
+        for k, _, n, lo, hi in inside:
+            if own := {r for r in spans[k][4] if below[k] <= r < below[k] + n}:
+                narrower.append((spans[k][0], lo, hi, below[k], own))
+            below[k] += n
+        spans = narrower
+    out: dict[int, list[float]] = {g: [] for g in sizes}
+    for g, n in sizes.items():
+        for s in shares:
+            low, high = found[g, math.floor(s * (n - 1))], found[g, math.ceil(s * (n - 1))]
+            out[g].append(low + (high - low) * (s * (n - 1) % 1))
+    return out
+
+
 def fits(known: DataFrame):
     """A condition on rows of predict(..., details=True): whether a text is like those of its predicted language.
 
-    `known` has such rows with a label `lang`, best ones the model hasn't learned from; those it agrees with count. A text
-    of n letters fits if its log-likelihood a letter is no more than LOWEST * sqrt(b / n) + c below its language's mean; b is
+    `known` has such rows with a label `lang`, best ones the model hasn't learned from; those it agrees with count, all of them. A
+    text of n letters fits if its log-likelihood a letter is no more than LOWEST * sqrt(b / n) + c below its language's mean; b is
     the known texts' variance a letter, and c, SLACK or more, lets all but one in RARE of them fit. The posterior can't
     tell: it is near 1 for any text with a few words. Languages without known texts take all languages' mean, and without
     any known text all texts fit."""
-    rows = known.filter("lang = lang_pred AND letters > 0").select("lang", "letters", "per_letter").toPandas()
-    if not len(rows):
+    agreed = known.filter("lang = lang_pred AND letters > 0")
+    rows, _ = stage_table(agreed.select("lang", F.col("letters").cast("double").alias("n"), F.col("per_letter").alias("x")))
+    sums = rows.groupBy("lang").agg(F.sum(F.col("n") * F.col("x")).alias("nx"), F.sum("n").alias("n"), F.count("*").alias("rows")).collect()  # a row a language
+    if not sums:
         return F.lit(True)
-    n, x = rows["letters"].to_numpy(np.float64), rows["per_letter"].to_numpy(np.float64)
-    means = {lang: float(np.average(x[at], weights=n[at])) for lang, at in rows.groupby("lang").indices.items()}
-    off = x - rows["lang"].map(means).to_numpy(np.float64)
+    means = F.create_map(*[F.lit(v) for r in sums for v in (r["lang"], r["nx"] / r["n"])])
+    n, off, one = F.col("n"), F.col("x") - F.element_at(means, F.col("lang")), F.lit(0).alias("g")
     # b from the typical deviations of texts of like lengths, which a few odd texts don't move
-    parts = np.array_split(np.argsort(n), max(1, min(20, len(n) // 20)))
-    b = float(np.median([(1.4826 * np.median(np.abs(off[part]))) ** 2 / np.mean(1 / n[part]) for part in parts]))
-    c = max(SLACK, -float(np.quantile(off + LOWEST * np.sqrt(b / n), 1 / RARE)))
-    every = F.lit(float(np.average(x, weights=n)))
-    mean = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in means.items() for v in pair]), F.col("lang_pred")), every)
+    parts = max(1, min(20, sum(r["rows"] for r in sums) // 20))
+    bounds = quantiles(rows.select(one, n.alias("x")), [k / parts for k in range(1, parts)])[0]
+    part = sum(((n >= x).cast("int") for x in bounds), F.lit(0))
+    typical = quantiles(rows.select(part.alias("g"), F.abs(off).alias("x")), [0.5])
+    inverse = {r["g"]: r["m"] for r in rows.groupBy(part.alias("g")).agg(F.avg(1 / n).alias("m")).collect()}
+    b = float(np.median([(1.4826 * median) ** 2 / inverse[g] for g, (median,) in typical.items()]))
+    c = max(SLACK, -quantiles(rows.select(one, (off + LOWEST * F.sqrt(F.lit(b) / n)).alias("x")), [1 / RARE])[0][0])
+    every = F.lit(sum(r["nx"] for r in sums) / sum(r["n"] for r in sums))
+    mean = F.coalesce(F.element_at(means, F.col("lang_pred")), every)
     return F.coalesce(F.col("per_letter") >= mean - LOWEST * F.sqrt(F.lit(b) / F.col("letters")) - c, F.lit(False))
 
 
