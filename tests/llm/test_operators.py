@@ -210,6 +210,26 @@ def test_long_units_are_not_kept(library):
     assert sum(len(u) for u in encoder.young) + sum(len(u) for u in encoder.old) < 100
 
 
+def test_whole_texts_skip_units(library, texts):
+    """Texts of long-settled scripts are encoded at once; those with long runs, which would be quadratic, never are."""
+    encoder, seen = tokens.UnitEncoder(tokens.tokenizer_path(tokens.VOCABULARY), lambda ids: ids.tolist(), whole_texts=True), []
+
+    class Watched:
+        def __init__(self, twin):
+            self.encode, self.twin = twin.encode, twin
+
+        def encode_to_numpy(self, text, **k):
+            seen.append(text)
+            return self.twin.encode_to_numpy(text, **k)
+
+    encoder.wrap_runs, encoder.twin = (lambda ids, a, b: [ids[x:y].tolist() for x, y in zip(a, b)]), Watched(encoder.twin)
+    short = ["  two  blanks \n\n\r\n lines\t\tend ", "don't I'LL we've 12345 ½²³ ñandú Жизнь ΑΒΓ ß ŉ", " ", "\n", "x" * 128, "a\n \nb" + " " * 128 + "c", *(t for t in texts if t and t.isascii() and len(t) < 2000 and "<|" not in t)]
+    long = ["y" * 129, "Ж" * 65, "!\x01" * 65 + " a", "word " + "z" * 5000 + " word", "a" + " " * 129 + "b", "\n" * 140, "漢字 kana", "a\u00a0b", "<|endoftext|> inside"]
+    got = [sum(values, []) for values in encoder.batch([*short, *long])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in [*short, *long]]
+    assert seen[: len(short)] == short and not set(seen) & set(long)
+
+
 def test_damage_is_found():
     blob = bytearray(b"".join(records.frames([b"a" * 40, b"b" * 40])))
     assert len(records.unframe(bytes(blob))[0]) == 2

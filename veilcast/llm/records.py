@@ -146,7 +146,7 @@ def write_records(df: DataFrame, out: str, id_col: str = "doc_id", text_col: str
         part, name = context.partitionId(), f"part-{context.partitionId():06d}-{uuid.uuid4().hex[:12]}.rec"
 
         def make() -> UnitEncoder:
-            encoder = UnitEncoder(path, len, cache_units=CACHE_UNITS)
+            encoder = UnitEncoder(path, len, cache_units=CACHE_UNITS, whole_texts=True)
             kind, b = ("<u2", 2) if encoder.library.get_vocab_size() <= 1 << 16 else ("<u4", 4)
 
             def runs(ids, starts, ends):

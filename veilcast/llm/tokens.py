@@ -37,6 +37,10 @@ UNIT = re.compile(r"\s*\S+|\s+")
 #: What may not be in a unit that the rank-based encoder takes: line breaks, and characters beyond the
 #: long-settled scripts, whose Unicode class libraries may know differently.
 FAR = re.compile("[\r\n\u0590-\U0010ffff]")
+#: What may not be in a whole text that the rank-based encoder takes: those characters but line breaks.
+LATER = re.compile("[\u0590-\U0010ffff]")
+LONGEST_RUN = 2 * LONGEST_UNIT  # bytes with or without white space in such a text; its merging is quadratic in them
+BLANK = np.isin(np.arange(256), list(b" \t\n\r"))
 
 
 def tokenizer_path(name: str) -> str:
@@ -86,15 +90,22 @@ def ranked_twin(path: str):
     return tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def longest_run(text: str) -> int:
+    """Bytes of the longest run with or without blanks in a text that isn't empty."""
+    blank = BLANK[np.frombuffer(text.encode(), np.uint8)]
+    return int(np.diff(np.flatnonzero(blank[1:] != blank[:-1]), prepend=-1, append=len(blank) - 1).max())
+
+
 class UnitEncoder:
     """Encodes texts by units; `wrap` turns the ids of a unit into what is kept of them, and wrap_runs
     does so for many runs of one array, given their starts and ends.
 
     `known` maps units that follow a space (without that space) to kept values. Two generations of
     cache bound the memory: a full young one becomes the old one, and hits in the old one move up. Units of more than
-    LONGEST_UNIT characters are encoded each time, so `cache_units` bounds bytes too."""
+    LONGEST_UNIT characters are encoded each time, so `cache_units` bounds bytes too. With `whole_texts`, texts that the rank-based
+    encoder takes are encoded by it at once, without units: faster where ids are wanted and many units are rare."""
 
-    def __init__(self, path: str, wrap, known: dict | None = None, cache_units: int = CACHE_UNITS, wrap_runs=None):
+    def __init__(self, path: str, wrap, known: dict | None = None, cache_units: int = CACHE_UNITS, wrap_runs=None, whole_texts: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -105,6 +116,7 @@ class UnitEncoder:
         self.wrap, self.known, self.limit = wrap, known or {}, cache_units
         self.wrap_runs = wrap_runs or (lambda ids, a, b: map(int.__sub__, b, a))
         self.twin = ranked_twin(path)
+        self.whole_texts = whole_texts and self.twin is not None
         self.newline = self.twin.encode("\n")[0] if self.twin else None
         self.young: dict = dict(self.known)
         self.old: dict = {}
@@ -150,6 +162,8 @@ class UnitEncoder:
                 plans.append(None)
             elif any(s in text for s in self.specials) or ODD.search(text):
                 plans.append(late(text))
+            elif self.whole_texts and (text.isascii() or not LATER.search(text)) and longest_run(text) <= LONGEST_RUN:
+                plans.append([self.wrap(self.twin.encode_to_numpy(text, disallowed_special=()))])
             else:
                 odd: dict[int, int] = {}
                 if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[-1] == " ":
@@ -181,6 +195,8 @@ class UnitEncoder:
         for plan in plans:
             if plan is None:
                 out.append([])
+            elif type(plan) is list:
+                out.append(plan)
             elif type(plan) is int:
                 out.append([rest[plan]])
             else:
