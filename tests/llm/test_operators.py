@@ -122,6 +122,40 @@ def test_sentence_marks_of_other_scripts(spark):
     assert {r[0]: (r[1], r[2]) for r in duck.execute(sentences.ORACLE_SQL).fetchall()} == {i: v[:2] for i, v in got.items()}
 
 
+#: The query's SQL with runs of $1 words; it isn't the query's, whose runs are of three sentences.
+RUNS_BY_WORDS_SQL = rf"""
+WITH s AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^{sentences.MARKS}]+[{sentences.MARKS}]*[ \t\r\n\f]*|[{sentences.MARKS}]+[ \t\r\n\f]*') AS ss FROM documents
+), x AS (
+  SELECT doc_id, k, len(regexp_extract_all(ss[k], '{sentences.WORD}')) AS n FROM s, unnest(range(1, CAST(len(ss) + 1 AS BIGINT))) AS t(k)
+), c AS (SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS upto FROM x),
+e AS (SELECT doc_id, upto, min(k) AS k FROM c WHERE n > 0 GROUP BY doc_id, upto),
+r AS (
+  SELECT c.doc_id, c.k, e.k AS last, array_to_string([trim(y, e' \t\r\n\f') FOR y IN ss[c.k : e.k]], e'\n') AS h
+  FROM c ASOF JOIN e ON c.doc_id = e.doc_id AND c.upto - c.n + $1 <= e.upto JOIN s ON s.doc_id = c.doc_id
+), f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS rn FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, last + 1)) AS k FROM f WHERE rn > 1),
+gs AS (SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id)
+SELECT doc_id, CAST(len(ss) AS BIGINT) AS n_sentences, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  array_to_string([ss[k] FOR k IN range(1, CAST(len(ss) + 1 AS BIGINT)) IF NOT list_contains(coalesce(gone, []), k)], '') AS kept
+FROM s LEFT JOIN gs USING (doc_id)
+"""
+
+
+def test_runs_by_words(spark, texts):
+    """Long passages of one and two sentences go, three short sentences stay; with runs of three it is the reverse."""
+    one, short = " ".join(f"word{k}" for k in range(55)) + ".", "Oh yes. Not so. Well then."
+    two, han = one.replace("word30", "word30."), "".join(chr(0x4E00 + 7 * k) for k in range(60)) + "。"
+    rows = [(2 * k + j, f"Begin {k} {j}. {p} End {k} {j}.") for k, p in enumerate([one, two.replace("word", "next"), han, short]) for j in range(2)]
+    rows += [(100 + i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    by = {w: {r.doc_id: (r.n_sentences, r.n_removed, r.text or "") for r in sentences.drop_repeated_spans(df, words=w).collect()} for w in (None, 20)}
+    assert [by[20][i][1] for i in range(8)] == [0, 1, 0, 2, 0, 1, 0, 0] and [by[None][i][1] for i in range(8)] == [0] * 7 + [3]
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    assert {r[0]: r[1:] for r in duck.execute(RUNS_BY_WORDS_SQL, [20]).fetchall()} == by[20]
+
+
 # 3 and 4
 
 
